@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from millrace.llm.exact import exact_duplicates
 from millrace.llm.mixing import mix_sources
+from millrace.llm.packing import pack_documents
 from millrace.llm.sharding import shard_documents
+from millrace.llm.simhash import simhash_components
+from millrace.llm.token_files import read_token_files, write_token_files
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +34,37 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    out = read_token_files(manifest)
+    return out.select(
+        "doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), room=4096, end_id=1)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_token_ids": op8_token_ids,
+    "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
 
