@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space only: other Unicode spaces belong to words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with this package at hand: its source goes to the executors once a session, wherever they run."""
     sc = df.sparkSession.sparkContext
     if not getattr(sc, "_millrace_sent", False):

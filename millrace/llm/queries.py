@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.ann import nearest_vectors
 from millrace.llm.exact import exact_duplicates
+from millrace.llm.langid import identify_languages
 from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import score_quality
 from millrace.llm.sharding import shard_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.llm.warc import read_archives, record_table, write_archives
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), shards=16)
     return out.select(
@@ -43,6 +51,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_archives(write_archives(record_table(table(spark, sf_dir, "pages"))))
+    return rows.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     out = read_token_files(manifest)
@@ -60,15 +81,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language": op5_language,
+    "op6_warc": op6_warc,
+    "op7_nearest": op7_nearest,
     "op8_token_ids": op8_token_ids,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_warc": """
+        select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest,
+            case when strlen(h) >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+            case when strlen(h) >= 1000 and page_id < last then last end as refers_to
+        from (select page_id, h, max(page_id) over (partition by h) as last from (select page_id, coalesce(html, '') as h from pages))""",
     "op4_exact_dedup": r"""
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
         from (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
