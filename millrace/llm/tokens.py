@@ -5,36 +5,29 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 
 #: The encoder remembers so many words (about 250 bytes each), then asks the library for the others each time.
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 #: Characters for which lower case, composition and white space are the same in Python and in the library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+#: Two marks at a word's end, which the library doesn't separate.
+RUN = re.compile(r"[!-/:-@\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7][.,] ")
 #: Texts are encoded in groups of about so many characters.
 GROUP = 1 << 18
-
-
-def latin_pattern(pattern: str) -> re.Pattern | None:
-    """The split pattern for PLAIN text: Unicode classes become lists of characters below 256. None if it can't be written so."""
-    for name in ("L", "N"):
-        chars = "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == name)
-        pattern = pattern.replace(rf"[\p{{{name}}}]", f"[{chars}]").replace(rf"\p{{{name}}}", chars)
-    try:
-        found = re.compile(pattern)
-    except re.error:
-        return None
-    return found if not found.groups and r"\p" not in pattern else None
+#: Unknown words in a line that the library is asked for.
+LINE = 200
+#: Fixed value: the split pattern of the tokenizers whose words are remembered. It never matches across white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's without special tokens.
 
-    Where the tokenizer's file says that text is composed, blanks are merged, letters are lowered and a pattern splits words that
-    are encoded independently, a word's ids are asked for once and remembered; texts with characters outside PLAIN
+    Where the tokenizer's file says that text is composed, blanks are merged, letters are lowered and SPLIT cuts what is
+    encoded independently, a word's ids are asked for once and remembered; texts with characters outside PLAIN
     or with the text of an added token go to the library whole, as does everything under other kinds of tokenizer.
     """
 
@@ -42,48 +35,63 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.words, spec = Tokenizer.from_str(definition), {}, json.loads(definition)
+        self.library, spec = Tokenizer.from_str(definition), json.loads(definition)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split = None
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in norm.get("normalizers", [])]
-        if steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and spec["model"]["type"] == "BPE":
-            cut, *rest = pre.get("pretokenizers", [{}])
-            byte_level = [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
-            if byte_level and (cut.get("type"), cut.get("behavior"), cut.get("invert")) == ("Split", "Removed", True):
-                self.split = latin_pattern(cut["pattern"].get("Regex", r"\p"))
+        cut, *rest = pre.get("pretokenizers") or [{}]
+        self.remembers = (
+            spec["model"]["type"] == "BPE"
+            and steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and (cut.get("type"), cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+            and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        )
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _single(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that the pattern has cut, asked for in one text."""
-        if not words:
-            return {}
-        e = self.library.encode(" ".join(words), add_special_tokens=False)
-        raw, word = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
-        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word)).tolist()
-        if len(ends) != len(words):
-            return dict(zip(words, self._whole(words), strict=True))
-        return {w: raw[4 * i : 4 * j] for w, i, j in zip(words, [0, *ends], ends, strict=False)}
+        """Ids of words, asked for in lines of many."""
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        out = {}
+        for line, e in zip(lines, self.library.encode_batch([" ".join(x) for x in lines], add_special_tokens=False) if lines else [], strict=True):
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            starts = np.cumsum([0] + [len(w) + 1 for w in line])
+            at = np.searchsorted(np.array([a for a, _ in e.offsets]), starts).tolist()
+            out.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(line, at, at[1:], strict=False))
+        return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        cut, known, new, other = [], self.words, [], []
+        known, open_, new, other = self.words, [], {}, []
         for i, t in enumerate(texts):
-            low = t.lower() if self.split and PLAIN.fullmatch(t) else None
+            low = t.lower() if self.remembers and PLAIN.fullmatch(t) else None
             if low is None or any(a in t or a in low for a in self.added):
                 other.append(i)
-            else:
-                words = self.split.findall(low)
-                cut.append((i, words))
-                new += [w for w in words if w not in known]
-        got = self._single(list(dict.fromkeys(new)))
+                continue
+            low = low.replace("\n", " ").replace("\t", " ").replace("\r", " ") + " "
+            if not RUN.search(low):  # a mark after a letter or digit is encoded by itself
+                low = low.replace(". ", " . ").replace(", ", " , ")
+            words = low.split()
+            parts = list(map(known.get, words))
+            holes = parts.count(None)
+            if not holes:
+                out[i] = b"".join(parts)
+                continue
+            at, where = -1, []
+            for _ in range(holes):
+                at = parts.index(None, at + 1)
+                where.append(at)
+                new[words[at]] = None
+            open_.append((i, parts, [(k, words[k]) for k in where]))
+        got = self._single(list(new))
         if len(known) + len(got) <= MOST_WORDS:
             known.update(got)
-            got = {}
-        for i, words in cut:
-            out[i] = b"".join([known[w] if w in known else got[w] for w in words] if got else map(known.__getitem__, words))
+        for i, parts, where in open_:
+            for k, w in where:
+                parts[k] = got[w]
+            out[i] = b"".join(parts)
         for i, b in zip(other, self._whole([texts[i] for i in other]) if other else [], strict=True):
             out[i] = b
         return out
