@@ -104,8 +104,8 @@ def write_token_files(
     """Encode whole texts and write token files in ascending doc_id order: the manifest (seq, path, n_docs, n_tokens, base, dictionary).
 
     `tokenizer` is the tokenizer file's path on the driver. Null text is empty; each document ends with `end_id`. Null
-    doc_ids come first; equal doc_ids are ordered by a hash of the text. The dictionary is trained on the ids of `samples`
-    documents of at most `most_sample` characters, those with the smallest hashes; nothing else is sampled. Each task writes a file of
+    doc_ids come first; equal doc_ids are ordered by a hash of the text. The dictionary is trained on the ids of the `samples`
+    documents with the smallest hashes of doc_id, but for those of over `most_sample` characters; nothing else is sampled. Each task writes a file of
     its own name, and only files of tasks that succeeded are in the manifest, so lost executors and repeated tasks leave no
     mark. `base` is the number of ids in all files before. Files are for the folder's owner to delete.
     """
@@ -121,7 +121,10 @@ def write_token_files(
 
     width = 2 if max(Tokenizer.from_str(definition.value).get_vocab_size(), end_id + 1) <= 65_536 else 4
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text"))
-    pick = rows.where(F.length("text") <= most_sample).orderBy("__h", "doc_id").limit(samples).select("text").collect()
+    lot = F.xxhash64("doc_id", F.lit("dictionary"))
+    drawn = [r[0] for r in docs.select(lot.alias("lot")).orderBy("lot").limit(samples).collect()]
+    short = docs.where((lot <= max(drawn, default=0)) & (F.length("text") <= most_sample))
+    pick = short.select("text").limit(samples).collect()
     chosen = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes() for b in encoded([r.text for r in pick])]
     raw = train_dictionary(chosen, size)
     files.make_dir(out_dir)
