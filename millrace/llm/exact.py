@@ -71,7 +71,10 @@ def exact_duplicates(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_duplicates() keeps, with all columns."""
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).alias("d")
-    out = rows.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.__id")) & (F.col("d.__sha") == F.col("s.__sha")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+
+    def key(sha: Column) -> Column:
+        return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), sha).alias("__key")
+
+    stay = exact_duplicates(docs).where("kept").select(key(F.col("text_sha256")))
+    rows = docs.select("*", key(F.sha2(normalised(F.col("text")), 256)))
+    return rows.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -20,6 +20,8 @@ BAD, NONE, GOOD = 0, 1, 2
 FEATURES = 1 << 14
 #: Documents with posteriors of each class that the scorer is fitted on.
 SAMPLE = 1500
+#: Documents that score less are rejected: clean ones that are lost weigh more than junk that stays.
+THRESHOLD = 0.25
 #: Fewest words for labellers that need statistics of words.
 LEAST_WORDS = 8
 #: Bytes by class: lower-case and longer characters, upper case, digits, blanks; symbols stand for themselves.
@@ -201,7 +203,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier(posterior, share, fit(rows))
 
 
-def score_quality(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """Quality of each whole text: doc_id, votes (by labeller: bad, none, good), posterior, score, keep (score of at least `threshold`).
 
     Labellers vote bad, good or not at all on symbols, runs of marks, capitals, bars, repeated words, variety, sentence ends and
@@ -231,7 +233,7 @@ def score_quality(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE)
     return map_arrow(rows, run, "doc_id long, votes string, posterior double, score double, keep boolean")
 
 
-def keep_quality(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def keep_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs` that score_quality() keeps, with all columns; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
     at = docs.columns.index("text")

@@ -297,3 +297,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similar
     out = rows.join(comps, rows.doc_id == comps.node, "left")
     keep = F.coalesce("component", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` that near_duplicates() keeps, with all columns."""
+    gone = near_duplicates(docs, shingle, radius, similarity).where("not kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(stored(gone, "gone"), docs.doc_id == F.col("__id"), "left_anti")
