@@ -1,10 +1,293 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that each is compared with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from millrace.functions.bits import bit_at, radix_bits, radix_id
+from millrace.functions.text import run_length
+from millrace.operators import aggregates, joins, ordering, partitioning, sets, strings, validate
+from millrace.sources.sinks import as_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Partitions of the radix queries come from this many threads.
+THREADS = 8
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def registered(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+# --- joins on integer keys
+
+FACT = "select l_orderkey, l_linenumber, l_quantity, p_partkey, p_name from lineitem join part on l_partkey = p_partkey"
+
+
+def fact_join(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    left = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    right = table(spark, d, "part").select("p_partkey", "p_name")
+    out = joins.equi_join(left, right, "l_partkey", "p_partkey", strategy, threads=THREADS)
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "p_partkey", "p_name")
+
+
+@registered(FACT)
+def join_broadcast(spark: SparkSession, d: str) -> DataFrame:
+    return fact_join(spark, d, "broadcast")
+
+
+@registered(FACT)
+def join_shuffle_hash(spark: SparkSession, d: str) -> DataFrame:
+    return fact_join(spark, d, "shuffle_hash")
+
+
+@registered(FACT)
+def join_merge(spark: SparkSession, d: str) -> DataFrame:
+    return fact_join(spark, d, "merge")
+
+
+@registered(FACT)
+def join_auto(spark: SparkSession, d: str) -> DataFrame:
+    return fact_join(spark, d, "auto")
+
+
+@registered(FACT)
+def join_radix(spark: SparkSession, d: str) -> DataFrame:
+    return fact_join(spark, d, "radix")
+
+
+@registered("select c_custkey, n_name from customer, nation where c_nationkey = n_nationkey")
+def join_nested_loop(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    right = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return joins.equi_join(left, right, "c_nationkey", "n_nationkey", "nested_loop").select("c_custkey", "n_name")
+
+
+def supplier_customer(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+
+
+WINS = """select s_suppkey, c_custkey, c_name from supplier join (select * from customer
+    qualify row_number() over (partition by c_nationkey order by c_custkey{}) = 1) on s_nationkey = c_nationkey"""
+
+
+@registered(WINS.format(""))
+def join_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    a, b = supplier_customer(spark, d)
+    out = joins.equi_join(a, b, "s_nationkey", "c_nationkey", "broadcast", "first", ["c_custkey"])
+    return out.select("s_suppkey", "c_custkey", "c_name")
+
+
+@registered(WINS.format(" desc"))
+def join_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    a, b = supplier_customer(spark, d)
+    out = joins.equi_join(a, b, "s_nationkey", "c_nationkey", "broadcast", "last", ["c_custkey"])
+    return out.select("s_suppkey", "c_custkey", "c_name")
+
+
+@registered(
+    """select s_suppkey, c_custkey, c_name from supplier join (select * from (select *, ntile(4) over (order by c_custkey) as chunk from customer)
+    qualify row_number() over (partition by chunk, c_nationkey order by c_custkey desc) = 1) on s_nationkey = c_nationkey"""
+)
+def join_chunked_build(spark: SparkSession, d: str) -> DataFrame:
+    a, b = supplier_customer(spark, d)
+    return joins.chunked_build_join(a, b, "s_nationkey", "c_nationkey", ["c_custkey"], 4).select("s_suppkey", "c_custkey", "c_name")
+
+
+@registered(
+    """select s_suppkey, c_custkey
+    from (select *, row_number() over (partition by s_nationkey order by s_suppkey) as rn from supplier) as a
+    join (select *, row_number() over (partition by c_nationkey order by c_custkey) as rn from customer) as b
+    on a.s_nationkey = b.c_nationkey and a.rn = b.rn"""
+)
+def join_zip(spark: SparkSession, d: str) -> DataFrame:
+    a, b = supplier_customer(spark, d)
+    return joins.zip_join(a, b, "s_nationkey", "c_nationkey", ["s_suppkey"], ["c_custkey"]).select("s_suppkey", "c_custkey")
+
+
+@registered(
+    """select chunk, s_suppkey, c_custkey
+    from (select *, row_number() over (partition by chunk, s_nationkey order by s_suppkey) as rn
+        from (select *, ntile(4) over (order by s_nationkey, s_suppkey) as chunk from supplier)) as a
+    join (select *, row_number() over (partition by c_nationkey order by c_custkey) as rn from customer) as b
+    on a.s_nationkey = b.c_nationkey and a.rn = b.rn"""
+)
+def join_zip_chunked(spark: SparkSession, d: str) -> DataFrame:
+    a, b = supplier_customer(spark, d)
+    out = joins.zip_join_chunked(a, b, "s_nationkey", "c_nationkey", ["s_suppkey"], ["c_custkey"], 4)
+    return out.select("chunk", "s_suppkey", "c_custkey")
+
+
+@registered("select o_orderkey, p_name from orders join part on o_orderkey = p_partkey")
+def join_range_pruned(spark: SparkSession, d: str) -> DataFrame:
+    a, b = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "part").select("p_partkey", "p_name")
+    return joins.range_pruned_join(a, b, "o_orderkey", "p_partkey").select("o_orderkey", "p_name")
+
+
+# --- partitions, bits, aggregates
+
+
+@registered("select l_partkey & 7 as pid, count(*) as n from lineitem group by 1")
+def radix_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return partitioning.radix_histogram(table(spark, d, "lineitem"), "l_partkey", radix_bits(THREADS))
+
+
+@registered("select l_partkey & 7 as pid, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1")
+def radix_join(spark: SparkSession, d: str) -> DataFrame:
+    left, right = table(spark, d, "lineitem").select("l_partkey"), table(spark, d, "part").select("p_partkey")
+    out = joins.equi_join(left, right, "l_partkey", "p_partkey", "radix", threads=THREADS)
+    return out.groupBy(radix_id(F.col("l_partkey"), radix_bits(THREADS)).alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("select l_partkey & 7 as pid, l_orderkey, l_linenumber, l_partkey from lineitem")
+def radix_partition(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    out = partitioning.radix_partition(rows, "l_partkey", radix_bits(THREADS))
+    return out.select(F.col("pid").cast("long"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@registered("select cast(sum(n) // count(*) as bigint) as a from (select l_partkey & 7, count(*) as n from lineitem group by 1)")
+def avg_partition_size(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.average_partition_size(table(spark, d, "lineitem"), "l_partkey", radix_bits(THREADS))
+
+
+@registered("select min(l_partkey) as mn, max(l_partkey) as mx from lineitem")
+def min_max(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.min_max(table(spark, d, "lineitem"), "l_partkey")
+
+
+@registered("select p_partkey, ((p_partkey >> 3) & 1) = 1 as b from part")
+def get_bit(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", bit_at(F.col("p_partkey"), 3).alias("b"))
+
+
+@registered("select count(*) as n from lineitem join part on l_partkey = p_partkey")
+def count_result(spark: SparkSession, d: str) -> DataFrame:
+    left, right = table(spark, d, "lineitem").select("l_partkey"), table(spark, d, "part").select("p_partkey")
+    return aggregates.row_count(joins.equi_join(left, right, "l_partkey", "p_partkey"))
+
+
+@registered("select p_brand, list(p_partkey order by p_partkey) as payloads from part where p_brand <> '' group by 1")
+def payload_lists(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.payloads(table(spark, d, "part"), "p_brand", "p_partkey")
+
+
+@registered("select l_partkey, count(*) as n, count(*) / (select count(*) from lineitem) as share from lineitem group by 1")
+def value_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.frequencies(table(spark, d, "lineitem"), "l_partkey")
+
+
+@registered("select round((avg(x * x * x) - 3 * avg(x) * avg(x * x) + 2 * avg(x) ** 3) / (avg(x * x) - avg(x) ** 2) ** 1.5, 6) as skew from (select l_partkey::double as x from lineitem)")
+def key_skewness(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.skewness(table(spark, d, "lineitem"), "l_partkey").select(F.round("skew", 6).alias("skew"))
+
+
+# --- strings
+
+
+def order_part_text(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("tid"), F.col("o_orderkey").cast("string").alias("text"))
+    return a, table(spark, d, "part").select(F.col("p_partkey").alias("cid"), F.col("p_partkey").cast("string").alias("note"))
+
+
+PREFIX = """select tid, cid from (select a.k as tid, b.k as cid, rank() over (partition by a.k order by length(b.s) {}) as r
+    from ({}) as a join ({}) as b on starts_with(a.s, b.s)) where r = 1"""
+RLE = """select {key} as k, case when starts_with(x, '1') then list_aggregate(list_transform(range(1, length(x) + 1), lambda i:
+    case when i > 1 and x[i] = x[i - 1] then '' else x[i] || case when i < length(x) and x[i + 1] = x[i]
+    then '*' || cast(length(x[i:]) - length(ltrim(x[i:], x[i])) as varchar) else '' end end), 'string_agg', '') else x end as s
+    from (select {key}, cast({key} as varchar) as x from {table})"""
+TEXT = "select {key} as k, cast({key} as varchar) as s from {table}"
+ORDERS, PART = {"key": "o_orderkey", "table": "orders"}, {"key": "p_partkey", "table": "part"}
+
+
+@registered(PREFIX.format("asc", TEXT.format(**ORDERS), TEXT.format(**PART)))
+def prefix_shortest(spark: SparkSession, d: str) -> DataFrame:
+    return strings.prefix_join(*order_part_text(spark, d), "tid", "text", "note", "shortest").select("tid", "cid")
+
+
+@registered(PREFIX.format("desc", TEXT.format(**ORDERS), TEXT.format(**PART)))
+def prefix_longest(spark: SparkSession, d: str) -> DataFrame:
+    return strings.prefix_join(*order_part_text(spark, d), "tid", "text", "note", "longest").select("tid", "cid")
+
+
+@registered(PREFIX.format("asc", RLE.format(**ORDERS), RLE.format(**PART)))
+def prefix_rle(spark: SparkSession, d: str) -> DataFrame:
+    return strings.prefix_join(*order_part_text(spark, d), "tid", "text", "note", "shortest", compress=True).select("tid", "cid")
+
+
+@registered("select k as o_orderkey, s as c from (" + RLE.format(**ORDERS) + ")")
+def rle(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", run_length(F.col("o_orderkey").cast("string")).alias("c"))
+
+
+@registered("select o_orderkey as tid, p_partkey as cid from orders join part on cast(o_orderkey as varchar) = cast(p_partkey as varchar)")
+def exact_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return strings.exact_lookup(*order_part_text(spark, d), "text", "note").select("tid", "cid")
+
+
+@registered("select a.doc_id as x, b.doc_id as y from documents as a join documents as b on encode(a.text)[1:100] = encode(b.text)[1:100] and a.doc_id < b.doc_id")
+def bounded_equal(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    a, b = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), docs.select(F.col("doc_id").alias("y"), F.col("text").alias("t"))
+    return strings.bounded_equal_join(a, b, "s", "t", 100).where("x < y").select("x", "y")
+
+
+@registered("select doc_id, hex(encode(text)[1:100]) as h from documents")
+def truncate_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.hex(F.substring(F.col("text").cast("binary"), 1, 100)).alias("h"))
+
+
+# --- sets, checks, orders, text
+
+
+@registered("select doc_id from documents except all select doc_id from labels")
+def load_except(spark: SparkSession, d: str) -> DataFrame:
+    return sets.except_all(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"))
+
+
+@registered("select o_orderkey from orders where o_orderkey in (select doc_id from labels)")
+def check_semi(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("o_orderkey"))
+    return validate.matching(table(spark, d, "orders").select("o_orderkey"), labels, "o_orderkey")
+
+
+@registered("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def check_anti(spark: SparkSession, d: str) -> DataFrame:
+    return validate.unexpected(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@registered("select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
+def check_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return validate.repeated(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@registered("select concat_ws(',', p_partkey, p_name, p_brand, p_size) as s from part")
+def row_to_string(spark: SparkSession, d: str) -> DataFrame:
+    return as_text(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+
+
+@registered("select p_partkey, p_brand from part order by p_brand, p_name, p_partkey")
+def total_order(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.total_order(table(spark, d, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", "p_brand")
+
+
+@registered("select o_orderkey, o_custkey from orders order by o_orderkey limit 10")
+def limit_first_n(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.first_n(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 10, "o_orderkey")
+
+
+@registered("select max(length(html)) as m from pages")
+def max_line_length(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.longest(table(spark, d, "pages"), "html")

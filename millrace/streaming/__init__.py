@@ -1,0 +1 @@
+"""Empty on purpose: the engine's relations are bounded tables, and no operator of its inventory reads a stream."""
