@@ -1,0 +1,249 @@
+import bisect
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import mixing, packing, sharding, token_files
+from millrace.llm.tokens import PLAIN, Encoder, definition_of
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def words(t):
+    return len(WORD.findall(t or ""))
+
+
+# --- sharding
+
+
+@pytest.mark.parametrize("shards", [16, 3])
+def test_shards_are_even_and_slots_gapless(docs, texts, shards):
+    got = sharding.shard_documents(docs, shards).collect()
+    assert len(got) == len(texts)
+    by = defaultdict(list)
+    for r in got:
+        assert (r.size, r.text_crc32, r.tokens) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode()), words(texts[r.doc_id]))
+        by[r.shard].append(r)
+    assert set(by) <= set(range(shards))
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
+    sizes = [sum(r.size for r in by[s]) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 0.1 * sum(sizes) / shards
+
+
+def test_shards_of_odd_rows_and_a_hot_text(spark, odd_docs, no_docs):
+    assert sorted(r.size for r in sharding.shard_documents(odd_docs).collect() if r.doc_id in (4, 5)) == [1, 1]
+    assert sharding.shard_documents(odd_docs).count() == odd_docs.count()
+    assert sharding.shard_documents(no_docs).count() == 0
+    hot = spark.createDataFrame([(i, "the same text again" if i % 3 else f"text number {i}") for i in range(3000)], "doc_id long, text string")
+    n = Counter()
+    for r in sharding.shard_documents(hot, 8).collect():
+        n[r.shard] += r.size
+    assert max(n.values()) - min(n.values()) <= 0.02 * sum(n.values()) / 8
+
+
+def test_units_go_where_the_product_is_highest():
+    to = sharding.place(np.array([[8.0, 1, 1], [8, 1, 1], [1, 8, 1], [1, 8, 1]]), 2)
+    assert to[0] != to[1]
+    assert to[2] != to[3]
+
+
+# --- mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, fixed = share * sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        t = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if t[s] > cap * sizes[s]]
+        if not over:
+            return fixed | t
+        fixed |= {s: cap * sizes[s] for s in over}
+
+
+def test_mix_on_the_table(docs, texts):
+    got = mixing.mix_sources(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    sizes = Counter()
+    for i, t in texts.items():
+        sizes[source[i]] += words(t)
+    want = brute_targets(sizes)
+    taken, largest = Counter(), Counter()
+    for r in got:
+        assert r.size == words(texts[r.doc_id])
+        assert r.source_size == sizes[r.source]
+        assert math.isclose(r.target, want[r.source], rel_tol=1e-9)
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(docs.repartition(5)).collect()))
+    repeats = {r.doc_id: r.repeats for r in got}
+    mixed = mixing.take_mix(docs)
+    assert mixed.columns == docs.columns
+    assert Counter(r.doc_id for r in mixed.select("doc_id").collect()) == Counter({i: n for i, n in repeats.items() if n})
+
+
+def test_mix_on_odd_rows(odd_docs, no_docs):
+    got = mixing.mix_sources(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert {r.source for r in got} == {"a", "b", "c", None}
+    assert all(r.taken <= 2 * r.size for r in got)
+    assert mixing.mix_sources(no_docs).count() == 0
+    assert mixing.take_mix(odd_docs).columns == odd_docs.columns
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix_sources(odd_docs, most_sources=2)
+
+
+def test_budgets_are_nested(docs):
+    less = {r.doc_id: r.repeats for r in mixing.mix_sources(docs, share=0.5).collect()}
+    more = {r.doc_id: r.repeats for r in mixing.mix_sources(docs, share=0.9).collect()}
+    assert all(less[i] <= more[i] for i in less)
+
+
+# --- encoder
+
+
+ODD = ["a'sb it's don't x'll 'S", "foo.. bar.,x 12.5 ½x ²", "<|endoftext|> a", "é x", "İstanbul", "\xa0a\x85b", "", "  ", "a.", " . ,", "word.\nnext,", "l'été.", "ÀÉ. x_y", "日本語 text.", "x\x00y", "ſs", "K k"]
+
+
+@pytest.fixture(scope="module")
+def both(tokenizer):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer), Encoder(definition_of(tokenizer))
+
+
+def ids(library, texts):
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_equals_the_library(both, texts):
+    library, own = both
+    assert own.remembers
+    for batch in (ODD, list(texts.values()), ODD):
+        assert list(own.encode(batch)) == ids(library, batch)
+    assert list(own.encode([None])) == [b""]
+    assert sum(bool(PLAIN.fullmatch(t)) for t in ODD) > 5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab c.'s,\t\n12éß<|>É!?_", max_size=40), max_size=5))
+def test_encoder_property(both, batch):
+    library, own = both
+    assert list(own.encode(batch)) == ids(library, batch)
+
+
+def test_full_memory_changes_nothing(both, tokenizer, texts, monkeypatch):
+    from millrace.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_WORDS", 50)
+    batch = list(texts.values())[:20]
+    assert list(Encoder(definition_of(tokenizer)).encode(batch)) == ids(both[0], batch)
+
+
+# --- token files
+
+
+def test_token_files_round_trip(spark, docs, texts, both, tokenizer, tmp_path):
+    manifest = token_files.write_token_files(docs, tokenizer, out_dir=str(tmp_path / "t"))
+    got = sorted(token_files.read_token_files(manifest).collect())
+    start = 0
+    for (i, t), r in zip(sorted(texts.items()), got, strict=True):
+        assert (r.doc_id, r.start, bytes(r.ids)) == (i, start, ids(both[0], [t])[0] + b"\x01\x00\x00\x00")
+        start += len(r.ids) // 4
+    row = manifest.first()
+    with open(row.dictionary, "rb") as f:
+        book = f.read()
+    with open(row.path, "rb") as f:
+        f.size = lambda: (tmp_path / "t" / row.path.rsplit("/", 1)[1]).stat().st_size
+        reader = token_files.Reader(f, book)
+        k = len(reader) // 2
+        assert reader.ids(k).tobytes() == ids(both[0], [texts[reader.doc_id(k)]])[0] + b"\x01\x00\x00\x00"
+        f.seek(0)
+        with pytest.raises(ValueError, match="dictionary"):
+            token_files.Reader(f, b"another")
+
+
+def test_token_files_of_odd_rows(odd_docs, no_docs, tokenizer):
+    out = token_files.read_token_files(token_files.write_token_files(odd_docs, tokenizer)).orderBy("start").collect()
+    assert len(out) == odd_docs.count()
+    assert [r.doc_id for r in out][:3] == [None, None, 1]
+    assert all(a.start + len(a.ids) // 4 == b.start for a, b in zip(out, out[1:], strict=False))
+    assert token_files.read_token_files(token_files.write_token_files(no_docs, tokenizer)).count() == 0
+
+
+# --- packing
+
+
+def bins_of(lengths, room):
+    free, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(free, x)
+        if k < len(free):
+            r = free.pop(k)
+        else:
+            r, n = room, n + 1
+        if r > x:
+            bisect.insort(free, r - x)
+    return n
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=200))
+def test_plan_is_best_fit_on_counts(lengths):
+    room = 50
+    runs = packing.plan_runs(dict(Counter(lengths)), room)
+    used, ranks = defaultdict(list), defaultdict(list)
+    for length, first, n, seq, at, each in runs:
+        for k in range(n):
+            used[seq + k // each].append((at + k % each * length, length))
+            ranks[length].append(first + k)
+    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(n)) for x, n in Counter(lengths).items()}
+    for spans in used.values():
+        spans.sort()
+        assert spans[0][0] == 0
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+        assert sum(spans[-1]) <= room
+    assert len(used) == bins_of(lengths, room)
+    assert sorted(used) == list(range(len(used)))
+
+
+def check_packed(got, room, whole):
+    seqs, pieces = defaultdict(list), defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for spans in seqs.values():
+        spans.sort()
+        assert spans[0][0] == 0
+        assert sum(spans[-1]) <= room
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+    for i, b in whole.items():
+        want = [(k // room, k, min(room, len(b) // 4 - k), zlib.crc32(b[4 * k : 4 * (k + room)])) for k in range(0, len(b) // 4, room)]
+        assert sorted(pieces[i]) == want
+    return len(seqs)
+
+
+@pytest.mark.parametrize("room", [4096, 100])
+def test_packing_on_the_table(docs, texts, both, tokenizer, room):
+    got = packing.pack_documents(docs, tokenizer, room).collect()
+    whole = {i: ids(both[0], [t])[0] + b"\x01\x00\x00\x00" for i, t in texts.items()}
+    assert check_packed(got, room, whole) == bins_of([r.length for r in got], room)
+
+
+def test_packing_carries_ids_and_odd_rows(odd_docs, no_docs, tokenizer):
+    got = packing.pack_documents(odd_docs, tokenizer, with_ids=True).collect()
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+    check_packed(got, 4096, {})
+    assert sum(r.doc_id == 10 for r in got) == 2
+    assert packing.pack_documents(no_docs, tokenizer).count() == 0
