@@ -104,7 +104,8 @@ def learn(docs: DataFrame, most_langs: int = 512) -> Model | None:
                 sums[lang] += trigram_counts(text.as_py())
         for lang, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "feature": at.astype(np.int32), "n": c[at]})
+            names = pa.array([lang] * len(at), pa.string())
+            yield pa.RecordBatch.from_arrays([names, pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "feature", "n"])
 
     table = map_arrow(docs, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(langs), FEATURES))

@@ -103,7 +103,7 @@ def accuracies(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, flo
     pats = np.array(sorted(counts), dtype=np.int64)
     n = np.array([counts[p] for p in pats], dtype=np.float64)
     m = len(LABELLERS)
-    votes = np.array([[p // 3**i % 3 for i in range(m)] for p in pats]).reshape(-1, m)
+    votes = np.array([[p // 3**i % 3 for i in range(m)] for p in pats], dtype=np.int64).reshape(-1, m)
     one = np.eye(3)[votes]
     one[:, :, NONE] = 0
     good = np.array([0.95, 0.1, 0.01])[np.minimum((votes == BAD).sum(axis=1), 2)]
@@ -225,7 +225,7 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
                 score.append(model.score(x))
             keep = pa.array([s >= threshold for s in score], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names), pa.array(post, pa.float64()), pa.array(score, pa.float64()), keep],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(post, pa.float64()), pa.array(score, pa.float64()), keep],
                 ["doc_id", "votes", "posterior", "score", "keep"],
             )
 
