@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import SPACE, stored
 
-LEAST_CHUNK, MOST_CHUNK = 256, 2048
-#: A chunk may end before a blank that one of these follows: every eighth printable ASCII character by a multiplicative hash.
-ANCHORS = "".join(rf"\x{c:02x}" for c in range(33, 127) if (c * 2654435761 >> 13) % 8 == 0)
-CHUNK = rf"(?s).{{{LEAST_CHUNK},{MOST_CHUNK}}}?(?= [{ANCHORS}])|.{{1,{MOST_CHUNK}}}"
+LEAST_CHUNK, MOST_CHUNK = 64, 2048
+
+
+def characters(one_in: int) -> str:
+    """A class of printable ASCII characters, one in so many by a multiplicative hash."""
+    return "[" + "".join(rf"\x{c:02x}" for c in range(33, 127) if (c * 2654435761 >> 13) % one_in == 0) + "]"
+
+
+#: A chunk may end before a blank that a pair of characters from these classes follows, or at its largest size.
+CHUNK = rf"(?s).{{{LEAST_CHUNK},{MOST_CHUNK}}}?(?= {characters(6)}{characters(4)})|.{{1,{MOST_CHUNK}}}"
 
 
 def normalised(text: Column) -> Column:
