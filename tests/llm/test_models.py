@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     names = sorted(got.columns)
 
     def text(df):
-        return sorted(tuple("" if x is None or x != x else f"{x:.0f}" if isinstance(x, float) else str(x) for x in r) for r in df[names].itertuples(index=False))
+        return sorted(tuple("" if pd.isna(x) else f"{x:.0f}" if isinstance(x, float) else str(x) for x in r) for r in df[names].itertuples(index=False))
 
     assert text(got) == text(want)
 
