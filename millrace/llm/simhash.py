@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, map_arrow, stored
 
 BITS, SEED = 64, 42
-#: Buckets with more members than this are linked through midpoints, not by pairs (radius 2 and less).
-MOST_PAIRED = 64
+#: Buckets with more members than this are linked through midpoints, not by pairs (radius 2 and less). About where
+#: comparing a member with all others costs as much as shuffling its one-bit neighbours.
+MOST_PAIRED = 1024
 #: A part's signature is probed in at most so many variants.
 MOST_VARIANTS = 800
 #: Shingles whose bits are added up at a time.
