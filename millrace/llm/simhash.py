@@ -20,6 +20,10 @@ BITS, SEED = 64, 42
 MOST_PAIRED = 1024
 #: A part's signature is probed in at most so many variants.
 MOST_VARIANTS = 800
+#: Cost of probing a signature (made, shuffled, sorted) in comparisons of two fingerprints.
+PROBE_COST = 50
+#: Sets of at most so many shingles also meet on shared shingles: so few leave a fingerprint to chance.
+SMALL = 40
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
 #: Sizes of one class differ by this factor at most.
@@ -51,19 +55,31 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles)."""
+def head(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Of a set of hashes in order the first few, of which sets of at least that Jaccard similarity share one."""
+    n = len(hashes)
+    return hashes[: n - math.ceil(similarity * n) + 1].view(np.int64).tolist() if 0 < n <= SMALL else []
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles) and, with a similarity, the head of small sets."""
+    schema = "doc_id long, fp long, n long" + ", head array<long>" * (similarity is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes = [], []
+            fps, sizes, heads = [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), shingle)
                 fps.append(fingerprint(h))
-                sizes.append(len(np.unique(h)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n"])
+                h = np.unique(h)
+                sizes.append(len(h))
+                if similarity is not None:
+                    heads.append(head(h, similarity))
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())]
+            columns += [pa.array(heads, pa.list_(pa.int64()))] * (similarity is not None)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "head"][: len(columns)])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long, n long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 # --- parts and thresholds
@@ -136,7 +152,7 @@ def within(bits: tuple[int, ...], share: np.ndarray, corr: np.ndarray) -> np.nda
 
 
 def plan_parts(n: int, both: np.ndarray, radius: int, selectivity: float = 1.0) -> list[Part]:
-    """Parts and thresholds of the least estimated cost: rows probed plus pairs compared.
+    """Parts and thresholds of the least estimated cost: signatures probed, at PROBE_COST each, plus pairs compared.
 
     If two fingerprints differ in at most `radius` bits, they differ in at most threshold bits of some part, as thresholds
     plus one add up to radius + 1. For each number of parts, dynamic programming over the parts divides that sum.
@@ -158,7 +174,7 @@ def plan_parts(n: int, both: np.ndarray, radius: int, selectivity: float = 1.0)
                     if s + t + 1 > radius + 1 or v > MOST_VARIANTS:
                         break
                     # An index holds each signature once, so pairs that differ in t bits meet on one signature.
-                    c = cost + (v * n + selectivity * n * n / 2 * near[t] if t >= 0 else 0)
+                    c = cost + (PROBE_COST * v * n + selectivity * n * n / 2 * near[t] if t >= 0 else 0)
                     if c < step.get(s + t + 1, (math.inf,))[0]:
                         step[s + t + 1] = (c, [*ts, t])
             least = step
@@ -260,42 +276,52 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
     """Groups of near-duplicates: doc_id, keep_id (the smallest doc_id of the group), kept.
 
-    Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts; candidates are pairs whose
-    fingerprints differ in at most `radius` bits and whose numbers of shingles allow it (shingle sets as similar as 0.8
-    give fingerprints of about 10 differing bits). First each bucket's members are compared with its least; pairs that this
-    has joined already aren't compared again, so a large group of near copies costs little more than its size. Documents
-    without words aren't linked. doc_ids are to be unique; null ones are kept unlinked. An empty table gives no rows.
+    Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts. Candidates are pairs whose
+    numbers of shingles allow it and whose fingerprints differ in at most `radius` bits (sets as similar as 0.8 differ
+    in about 10, rarely in more than 14), or, of sets of at most SMALL shingles, that share one of the first in order of hash, as similar ones must.
+    First each bucket's members are compared with its least; pairs that this has joined already aren't compared again, so
+    a large group of near copies costs little more than its size. Documents without words aren't linked. doc_ids are to be unique;
+    null ones are kept unlinked. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, shingle), "fps")
-    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "fp", "n")
+    rows = stored(fingerprints(docs, shingle, similarity), "fps")
+    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "fp", "n", "head")
     nodes = nodes.withColumn("c", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
     count, both = bit_counts(nodes)
-    classes = nodes.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()  # one for each power of SIZE_STEP
-    per = {r.c: r.k for r in classes}
+    # Classes of size are powers of SIZE_STEP, so there are few.
+    per = {r.c: r.k for r in nodes.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     meet = sum(k * (k + 2 * per.get(c - 1, 0)) for c, k in per.items()) / max(count, 1) ** 2
     parts = plan_parts(count, both, radius, meet)
-    least_ratio = F.lit(similarity)
+
+    def keyed(nodes: DataFrame, probe: bool) -> DataFrame:
+        """Signatures, and as a further part the heads of small sets."""
+        small = nodes.select("*", F.lit(len(parts)).alias("part"), F.explode("head").alias("key"))
+        return signatures(nodes, parts, probe).unionByName(small).drop("head")
+
+    def indexed(nodes: DataFrame) -> DataFrame:
+        """Every document under its class of size and the next; probes look in their own."""
+        return keyed(nodes, probe=False).withColumn("at", F.explode(F.array(F.col("c"), F.col("c") + 1)))
 
     def like(x: str, y: str) -> Column:
         few, many = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        return (distance(f"{x}.fp", f"{y}.fp") <= radius) & (few >= least_ratio * many)
-
-    # Every document is indexed under its class of size and the next; probes look in their own.
-    twice = signatures(nodes, parts, probe=False).withColumn("at", F.explode(F.array(F.col("c"), F.col("c") + 1)))
-    head = twice.groupBy("part", "key", "at").agg(F.min(F.struct("id", "fp", "n")).alias("h")).alias("h")
-    own = signatures(nodes, parts, probe=False).withColumn("at", F.col("c")).alias("p")
-    star = own.join(stored(head.select("part", "key", "at", "h.id", "h.fp", "h.n"), "heads").alias("q"), ["part", "key", "at"])
-    star = star.where((F.col("p.id") != F.col("q.id")) & like("p", "q"))
-    first = verified(star.select(F.greatest("p.id", "q.id").alias("a"), F.least("p.id", "q.id").alias("b")), docs, shingle, similarity)
+        near = (F.col("part") == len(parts)) | (distance(f"{x}.fp", f"{y}.fp") <= radius)
+        return near & (few >= F.lit(similarity) * many)
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
+
+    least = indexed(nodes).groupBy("part", "key", "at").agg(F.min(F.struct("id", "fp", "n")).alias("h"))
+    least = stored(least.select("part", "key", "at", "h.id", "h.fp", "h.n"), "least").alias("q")
+    own = keyed(nodes, probe=False).withColumn("at", F.col("c")).alias("p")
+    star = own.join(least, ["part", "key", "at"]).where((F.col("p.id") != F.col("q.id")) & like("p", "q"))
+    first = verified(star.select(*pair("p", "q")), docs, shingle, similarity)
     comps = components(first)
-    nodes = stored(nodes.join(comps, nodes.id == comps.node, "left").select("id", "fp", "n", "c", F.coalesce("component", "id").alias("g")), "nodes")
-    p = signatures(nodes, parts, probe=True).withColumnRenamed("c", "at").alias("p")
-    q = signatures(nodes, parts, probe=False).withColumn("at", F.explode(F.array(F.col("c"), F.col("c") + 1))).alias("q")
-    once = (F.col("q.c") < F.col("p.at")) | (F.col("p.id") < F.col("q.id"))
+    nodes = nodes.join(comps, nodes.id == comps.node, "left").drop("node").withColumn("g", F.coalesce("component", "id"))
+    nodes = stored(nodes.drop("component"), "nodes")
+    p, q = keyed(nodes, probe=True).withColumn("at", F.col("c")).alias("p"), indexed(nodes).alias("q")
+    once = (F.col("q.c") < F.col("p.c")) | ((F.col("q.c") == F.col("p.c")) & (F.col("p.id") < F.col("q.id")))
     pairs = p.join(q, ["part", "key", "at"]).where(once & (F.col("p.g") != F.col("q.g")) & like("p", "q"))
-    more = verified(pairs.select(F.greatest("p.id", "q.id").alias("a"), F.least("p.id", "q.id").alias("b")), docs, shingle, similarity)
-    comps = components(first.unionAll(more))
-    out = rows.join(comps, rows.doc_id == comps.node, "left")
+    more = verified(pairs.select(*pair("p", "q")), docs, shingle, similarity)
+    out = rows.join(stored(components(first.unionAll(more)), "comps"), F.col("doc_id") == F.col("node"), "left")
     keep = F.coalesce("component", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"))
 
