@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,3 +119,31 @@ def generate(spark: SparkSession, kind: str, n: int | None = None, size_bytes: i
     if kind == "MatchRate":
         return match_rate_cast_info(spark, n, rate, seed, low, high)
     return {"Uniform": uniform_cast_info, "Zipfian": zipf_cast_info, "Title": title}[kind](spark, n, seed, low, high)
+
+
+def main(args: list[str] | None = None) -> None:
+    """Write one generated relation, or both string tables, as CSV with a header."""
+    from millrace.plans.session import session
+    from millrace.sources.sinks import write_csv
+
+    p = argparse.ArgumentParser(description=main.__doc__)
+    p.add_argument("kind", choices=["Uniform", "Zipfian", "MatchRate", "Title", "Strings", "Sorted"])
+    p.add_argument("out")
+    p.add_argument("--rows", type=int)
+    p.add_argument("--bytes", type=int, default=0)
+    p.add_argument("--match-rate", type=float, default=1.0)
+    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--min", type=int, default=LOW)
+    p.add_argument("--max", type=int, default=HIGH)
+    p.add_argument("--one-file", action="store_true")
+    a = p.parse_args(args)
+    spark = session()
+    if a.kind == "Strings":
+        for df, name in zip(string_tables(spark, a.rows or 0, a.seed), ("cast_info", "title"), strict=True):
+            write_csv(df, f"{a.out}/{name}", a.one_file)
+    else:
+        write_csv(generate(spark, a.kind, a.rows, a.bytes, a.match_rate, a.seed, a.min, a.max), a.out, a.one_file)
+
+
+if __name__ == "__main__":
+    main()

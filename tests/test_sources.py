@@ -96,6 +96,17 @@ def test_titles_and_names(spark):
     assert [datagen.rows_for(x << 20, r) for x, r in ((1, "cast_info"), (1, "title"), (512, "cast_info"), (1024, "title"))] == [8457, 3257, 4329605, 3334602]
 
 
+def test_command_line(spark, tmp_path):
+    datagen.main(["Uniform", str(tmp_path / "u"), "--rows", "7", "--max", "3"])
+    got = csv_source.load_cast_info(spark, str(tmp_path / "u"))
+    assert got.count() == 7
+    assert {r.movie_id for r in got.select("movie_id").collect()} <= {1, 2}
+    datagen.main(["Title", str(tmp_path / "t"), "--bytes", str(322 * 4), "--one-file"])
+    assert csv_source.load_title(spark, str(tmp_path / "t")).count() == 4
+    datagen.main(["Strings", str(tmp_path / "s"), "--rows", "3"])
+    assert csv_source.load_title(spark, str(tmp_path / "s" / "title")).count() == 3
+
+
 def test_string_tables_match_row_by_row(spark):
     notes, titles = datagen.string_tables(spark, 40)
     out = strings.prefix_join(titles, notes, "title_id", "title", "note").select("title_id", "cast_info_id", F.length("note").alias("n"))
