@@ -37,9 +37,9 @@ def learn_rotations(x: np.ndarray, codes: int, steps: int = 20, seed: int = 42)
 
 
 def encode(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Codes as rows of SUB-bit numbers."""
+    """Codes as rows of SUB-bit numbers, filled up to 64-bit words."""
     bits = (x - mean) @ matrix > 0
-    pad = -bits.shape[1] % SUB
+    pad = -bits.shape[1] % 64
     return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint16)
 
 
@@ -50,25 +50,20 @@ def thresholds(radius: int, parts: int) -> np.ndarray:
 
 
 class Index:
-    """A table for each substring: its values in this block and the vectors that have them."""
+    """A table for each substring: its values in this block, and the value that each vector has."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.tables = codes, []
-        for k in range(codes.shape[1]):
-            order = np.argsort(codes[:, k], kind="stable")
-            values, starts = np.unique(codes[order, k], return_index=True)
-            self.tables.append((values, np.append(starts, len(order)), order))
+        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        self.tables = [np.unique(codes[:, k], return_inverse=True) for k in range(codes.shape[1])]
 
     def within(self, code: np.ndarray, radius: int, least: np.ndarray) -> np.ndarray:
         """Positions of every code within the radius: the pigeonhole principle says which buckets to look into."""
-        met = np.zeros(len(self.codes), dtype=bool)
-        for k, (values, starts, order) in enumerate(self.tables):
-            if least[k] < 0:
-                continue
-            for b in np.flatnonzero(np.bitwise_count(values ^ code[k]) <= least[k]):
-                met[order[starts[b] : starts[b + 1]]] = True
+        met = np.zeros(len(self.words), dtype=bool)
+        for k, (values, bucket) in enumerate(self.tables):
+            if least[k] >= 0:
+                met |= (np.bitwise_count(values ^ code[k]) <= least[k]).take(bucket)
         found = np.flatnonzero(met)
-        return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= radius]
+        return found[np.bitwise_count(self.words[found] ^ code.view(np.uint64)).sum(axis=1) <= radius]
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
@@ -117,7 +112,7 @@ def search(index: DataFrame, queries: DataFrame, mean: np.ndarray, matrix: np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, matrix = model.value
-        least = thresholds(radius, -(-matrix.shape[1] // SUB)) if radius is not None else None
+        least = thresholds(radius, 64 // SUB * -(-matrix.shape[1] // 64)) if radius is not None else None
         for batch in batches:
             for i in range(batch.num_rows):
                 block, ids, xs, qids, qs = (batch.column(j)[i].as_py() for j in range(5))
