@@ -1,7 +1,11 @@
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from millrace.llm import simhash
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -21,6 +25,43 @@ def test_stages_follow_on_each_other(spark, sf, tmp_path):
     assert Counter(r.doc_id for r in firsts.collect()) == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_decisions_against_brute_force(spark, sf):
+    """Each stage on its own input: exact groups, verified links, words near targets, ids of whole texts."""
+    docs, held = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in pipeline.STAGES[:-1]:
+        rows = docs.collect()
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        held[name] = (rows, docs)
+    before, after = held["exact_dedup"][0], {r.doc_id for r in held["exact_dedup"][1].collect()}
+    first = {}
+    for r in sorted(before):
+        first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", r.text), r.doc_id)
+    assert after == set(first.values())
+    before, after = held["near_dedup"][0], {r.doc_id for r in held["near_dedup"][1].collect()}
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in before}
+    fps = {r.doc_id: simhash.fingerprint(simhash.shingle_hashes(r.text, 5)) % 2**64 for r in before}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            near = a < b and (np.bitwise_count(np.uint64(fps[a] ^ fps[b])) <= 14 or max(len(sets[a]), len(sets[b])) <= simhash.SMALL)
+            if near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert after == {i for i in sets if find(i) == i}
+    words = Counter(), Counter()
+    for k, rows in enumerate((held["mixing"][0], held["mixing"][1].collect())):
+        for r in rows:
+            words[k][r.source] += len(re.findall(r"[^\x20\x09-\x0d]+", r.text))
+    assert abs(sum(words[1].values()) - 1.5 * sum(words[0].values())) <= 0.05 * sum(words[0].values())
+    assert all(words[1][s] <= 2 * words[0][s] for s in words[0])
+
+
 def test_run_agrees_with_itself(spark, sf):
     def digest(df):
         return sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
