@@ -70,7 +70,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(definition.value).encode(batch.column(1).to_pylist()), strict=True):
+            texts = (t.as_py() for t in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(definition.value).encode(texts), strict=True):
                 ids += end
                 for k in range(0, len(ids), 4 * room):
                     b = ids[k : k + 4 * room]

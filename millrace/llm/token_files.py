@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ def write_token_files(
     definition = spark.sparkContext.broadcast(definition_of(tokenizer))
     end = int(end_id).to_bytes(4, "little")
 
-    def encoded(texts: list) -> Iterator[bytes]:
+    def encoded(texts: Iterable[str]) -> Iterator[bytes]:
         return (b + end for b in encoder(definition.value).encode(texts))
 
     from tokenizers import Tokenizer
@@ -137,7 +137,8 @@ def write_token_files(
         seq, path, writer, tokens = TaskContext.get().partitionId(), f"{out_dir}/{uuid.uuid4().hex}.tok", None, 0
         for batch in batches:
             writer = writer or Writer(files.write_to(path), width, shared.value)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist()), strict=True):
+            texts = (t.as_py() for t in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts), strict=True):
                 tokens += writer.add(doc_id, ids)
         if writer:
             writer.close()

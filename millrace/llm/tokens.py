@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: The encoder remembers so many words (about 250 bytes each), then asks the library for the others each time.
-MOST_WORDS = 800_000
+#: The encoder remembers so many words (about 200 bytes each), then asks the library for the others each time.
+MOST_WORDS = 500_000
+#: A word is remembered when it comes a second time; a byte for each of so many hash values tells.
+CELLS = 1 << 22
 #: Characters for which lower case, composition and white space are the same in Python and in the library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 #: Two marks at a word's end, which the library doesn't separate.
@@ -47,6 +49,7 @@ class Encoder:
             and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
         )
         self.words: dict[str, bytes] = {}
+        self.seen = bytearray(CELLS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -86,8 +89,14 @@ class Encoder:
                 new[words[at]] = None
             open_.append((i, parts, [(k, words[k]) for k in where]))
         got = self._single(list(new))
-        if len(known) + len(got) <= MOST_WORDS:
-            known.update(got)
+        if len(known) < MOST_WORDS:
+            seen = self.seen
+            for w, b in got.items():
+                cell = hash(w) & (CELLS - 1)
+                if seen[cell]:
+                    known[w] = b
+                else:
+                    seen[cell] = 1
         for i, parts, where in open_:
             for k, w in where:
                 parts[k] = got[w]
@@ -96,7 +105,7 @@ class Encoder:
             out[i] = b
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Of each text in turn; null counts as empty."""
         group, size = [], 0
         for t in texts:
