@@ -18,6 +18,8 @@ BITS, SEED = 64, 42
 #: Buckets with more members than this are linked through midpoints, not by pairs (radius 2 and less). About where
 #: comparing a member with all others costs as much as shuffling its one-bit neighbours.
 MOST_PAIRED = 1024
+#: A radius is divided over at most so many parts; conditions over more would outgrow what the JVM compiles.
+MOST_PARTS = 8
 #: A part's signature is probed in at most so many variants.
 MOST_VARIANTS = 800
 #: Cost of probing a signature (made, shuffled, sorted) in comparisons of two fingerprints.
@@ -26,6 +28,12 @@ PROBE_COST = 50
 SMALL = 40
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
+#: Bits of a sketch, and words of 64 that it takes.
+SKETCH, WORDS = 256, 4
+#: Sketches of sets below this class of size are parities, which bound the difference of sets; above it they sample.
+PARITY_CLASSES = 24
+#: Members of a bucket that all its members are compared with before pairs are.
+LEADERS = 16
 #: Sizes of one class differ by this factor at most.
 SIZE_STEP = 1.25
 
@@ -61,23 +69,44 @@ def head(hashes: np.ndarray, similarity: float) -> list[int]:
     return hashes[: n - math.ceil(similarity * n) + 1].view(np.int64).tolist() if 0 < n <= SMALL else []
 
 
+def sketches(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes in order, two sketches of SKETCH bits as 64-bit words.
+
+    Parities: whether each of SKETCH ranges holds an odd number of hashes. Two sets differ in at least as many elements as
+    in parities. Samples: a bit of the least hash in each range, of the next one where a range is empty. The more two
+    sets share, the more of those agree.
+    """
+    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=SKETCH) & 1
+    ranges = np.arange(SKETCH, dtype=np.uint64) << np.uint64(56)
+    least = hashes[np.searchsorted(hashes, ranges) % len(hashes)] & np.uint64(1) if len(hashes) else np.zeros(SKETCH)
+    return np.packbits(np.concatenate([odd, least]).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def most_apart(similarity: float) -> int:
+    """Bits in which the samples of sets of that similarity differ at most, but for one pair in two hundred."""
+    p = (1 - similarity) / 2
+    return int(SKETCH * p + 2.6 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
-    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles) and, with a similarity, the head of small sets."""
-    schema = "doc_id long, fp long, n long" + ", head array<long>" * (similarity is not None)
+    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles) and, with a similarity, sketches and the head of small sets."""
+    schema = "doc_id long, fp long, n long" + ", sketches array<long>, head array<long>" * (similarity is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, heads = [], [], []
+            fps, sizes, marks, heads = [], [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), shingle)
                 fps.append(fingerprint(h))
                 h = np.unique(h)
                 sizes.append(len(h))
                 if similarity is not None:
+                    marks.append(sketches(h).tolist())
                     heads.append(head(h, similarity))
             columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())]
-            columns += [pa.array(heads, pa.list_(pa.int64()))] * (similarity is not None)
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "head"][: len(columns)])
+            if similarity is not None:
+                columns += [pa.array(x, pa.list_(pa.int64())) for x in (marks, heads)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sketches", "head"][: len(columns)])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
@@ -162,7 +191,7 @@ def plan_parts(n: int, both: np.ndarray, radius: int, selectivity: float = 1.0)
     corr = np.abs((both / max(n, 1) - np.outer(share, share)) / np.outer(sd, sd)).clip(0, 1)
     np.fill_diagonal(corr, 1)
     best: tuple[float, list[Part]] = (math.inf, [])
-    for m in range(1, min(radius + 1, 16) + 1):
+    for m in range(1, min(radius + 1, MOST_PARTS) + 1):
         groups = group_bits(corr, m)
         # least[s]: cost and thresholds of the parts so far, whose thresholds plus one add up to s
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -254,8 +283,10 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "set"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                blobs = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "set"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +308,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similar
     """Groups of near-duplicates: doc_id, keep_id (the smallest doc_id of the group), kept.
 
     Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts. Candidates are pairs whose
-    numbers of shingles allow it and whose fingerprints differ in at most `radius` bits (sets as similar as 0.8 differ
-    in about 10, rarely in more than 14), or, of sets of at most SMALL shingles, that share one of the first in order of hash, as similar ones must.
-    First each bucket's members are compared with its least; pairs that this has joined already aren't compared again, so
-    a large group of near copies costs little more than its size. Documents without words aren't linked. doc_ids are to be unique;
-    null ones are kept unlinked. An empty table gives no rows.
+    numbers of shingles allow it and whose fingerprints differ in at most `radius` bits (those of sets as similar as 0.8 in about
+    10, rarely in more than 14) and whose sketches don't rule it out, or, of sets of at most SMALL shingles, that share one of the first
+    in order of hash, as similar ones must. First each bucket's members are compared with LEADERS of it; pairs that this has
+    joined already aren't compared again, so a large group of near copies costs little more than its size. Documents without words
+    aren't linked. doc_ids are to be unique; null ones are kept unlinked. An empty table gives no rows.
     """
     rows = stored(fingerprints(docs, shingle, similarity), "fps")
-    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "fp", "n", "head")
+    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "fp", "n", "sketches", "head")
     nodes = nodes.withColumn("c", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
     count, both = bit_counts(nodes)
     # Classes of size are powers of SIZE_STEP, so there are few.
@@ -297,30 +328,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similar
         small = nodes.select("*", F.lit(len(parts)).alias("part"), F.explode("head").alias("key"))
         return signatures(nodes, parts, probe).unionByName(small).drop("head")
 
+    marks = [f"s{i}" for i in range(WORDS)]
+
+    def placed(rows: DataFrame, at: Column) -> DataFrame:
+        """Under a class of size, with the sketch that is compared there."""
+        rows = rows.withColumn("at", at)
+        pick = [F.get("sketches", F.when(F.col("at") < PARITY_CLASSES, i).otherwise(WORDS + i)) for i in range(WORDS)]
+        return rows.withColumns(dict(zip(marks, pick, strict=True))).drop("sketches")
+
+    def probing(nodes: DataFrame, probe: bool) -> DataFrame:
+        return placed(keyed(nodes, probe), F.col("c"))
+
     def indexed(nodes: DataFrame) -> DataFrame:
         """Every document under its class of size and the next; probes look in their own."""
-        return keyed(nodes, probe=False).withColumn("at", F.explode(F.array(F.col("c"), F.col("c") + 1)))
+        return placed(keyed(nodes, probe=False), F.explode(F.array(F.col("c"), F.col("c") + 1)))
 
     def like(x: str, y: str) -> Column:
         few, many = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+        apart = sum((distance(f"{x}.{m}", f"{y}.{m}") for m in marks[1:]), distance(f"{x}.{marks[0]}", f"{y}.{marks[0]}"))
+        # Of sets this similar, the difference holds at most this share of both sizes.
+        most = F.when(F.col("at") < PARITY_CLASSES, F.lit((1 - similarity) / (1 + similarity)) * (few + many)).otherwise(most_apart(similarity))
         near = (F.col("part") == len(parts)) | (distance(f"{x}.fp", f"{y}.fp") <= radius)
-        return near & (few >= F.lit(similarity) * many)
+        return near & (few >= F.lit(similarity) * many) & (apart <= most)
+
+    def first_part(x: str, y: str) -> Column:
+        """Whether no earlier part has brought the pair together, so that it is met once."""
+        out = F.col("part") == len(parts)
+        apart = F.lit(True)
+        for i, p in enumerate(parts):
+            out |= (F.col("part") == i) & apart
+            apart &= F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp")).bitwiseAND(F.lit(p.mask))) > p.threshold
+        return out
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
 
-    least = indexed(nodes).groupBy("part", "key", "at").agg(F.min(F.struct("id", "fp", "n")).alias("h"))
-    least = stored(least.select("part", "key", "at", "h.id", "h.fp", "h.n"), "least").alias("q")
-    own = keyed(nodes, probe=False).withColumn("at", F.col("c")).alias("p")
-    star = own.join(least, ["part", "key", "at"]).where((F.col("p.id") != F.col("q.id")) & like("p", "q"))
+    slot = F.pmod(F.xxhash64("id"), F.lit(LEADERS)).cast("int").alias("slot")
+    leaders = indexed(nodes).groupBy("part", "key", "at", slot).agg(F.min(F.struct("id", "fp", "n", *marks)).alias("h"))
+    leaders = stored(leaders.select("part", "key", "at", "h.*"), "leaders").alias("q")
+    own = probing(nodes, probe=False).alias("p")
+    star = own.join(leaders, ["part", "key", "at"]).where((F.col("p.id") != F.col("q.id")) & like("p", "q"))
     first = verified(star.select(*pair("p", "q")), docs, shingle, similarity)
     comps = components(first)
     nodes = nodes.join(comps, nodes.id == comps.node, "left").drop("node").withColumn("g", F.coalesce("component", "id"))
     nodes = stored(nodes.drop("component"), "nodes")
-    p, q = keyed(nodes, probe=True).withColumn("at", F.col("c")).alias("p"), indexed(nodes).alias("q")
+    p, q = probing(nodes, probe=True).alias("p"), indexed(nodes).alias("q")
     once = (F.col("q.c") < F.col("p.c")) | ((F.col("q.c") == F.col("p.c")) & (F.col("p.id") < F.col("q.id")))
-    pairs = p.join(q, ["part", "key", "at"]).where(once & (F.col("p.g") != F.col("q.g")) & like("p", "q"))
-    more = verified(pairs.select(*pair("p", "q")), docs, shingle, similarity)
+    met = once & (F.col("p.g") != F.col("q.g")) & like("p", "q") & first_part("p", "q")
+    more = verified(p.join(q, ["part", "key", "at"]).where(met).select(*pair("p", "q")), docs, shingle, similarity)
     out = rows.join(stored(components(first.unionAll(more)), "comps"), F.col("doc_id") == F.col("node"), "left")
     keep = F.coalesce("component", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"))
