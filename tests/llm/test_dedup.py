@@ -201,6 +201,9 @@ def test_near_duplicates_against_all_pairs(spark, docs, texts):
     fps = {i: simhash.fingerprint(simhash.shingle_hashes(t, 5)) % 2**64 for i, t in rows.items()}
     parent = {i: i for i in rows}
 
+    def alike(a, b):
+        return (fps[a] ^ fps[b]).bit_count() <= 14
+
     def find(x):
         while parent[x] != x:
             x = parent[x]
@@ -209,7 +212,7 @@ def test_near_duplicates_against_all_pairs(spark, docs, texts):
     ids = sorted(rows)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            near = np.bitwise_count(np.uint64(fps[a] ^ fps[b])) <= 14 or max(len(sets[a]), len(sets[b])) <= simhash.SMALL
+            near = alike(a, b) or max(len(sets[a]), len(sets[b])) <= simhash.SMALL
             if near and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
@@ -220,6 +223,28 @@ def test_near_duplicates_against_all_pairs(spark, docs, texts):
     assert got == want
 
 
+def apart(a, b):
+    """Differing parities and samples."""
+    x = (simhash.sketches(a) ^ simhash.sketches(b)).view(np.uint64)
+    return int(np.bitwise_count(x[: simhash.WORDS]).sum()), int(np.bitwise_count(x[simhash.WORDS :]).sum())
+
+
+def test_sketches_of_similar_sets():
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 2000))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        out = len(a) // 9
+        b = np.unique(np.append(a[out:], rng.integers(0, 2**64, out, dtype=np.uint64)))  # a similarity of about 0.8
+        parity, sample = apart(a, b)
+        assert parity <= len(np.setxor1d(a, b))
+        missed += n > 200 and sample > simhash.most_apart(0.8)
+    assert missed <= 10
+    far = [np.unique(rng.integers(0, 2**64, 150, dtype=np.uint64)) for _ in range(100)]
+    assert all(apart(x, y)[0] > 300 / 9 for x, y in zip(far, far[1:], strict=False))
+
+
 def test_small_sets_meet_whatever_their_fingerprints():
     rng = np.random.default_rng(9)
     for _ in range(300):

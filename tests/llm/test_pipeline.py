@@ -42,6 +42,9 @@ def test_decisions_against_brute_force(spark, sf):
     fps = {r.doc_id: simhash.fingerprint(simhash.shingle_hashes(r.text, 5)) % 2**64 for r in before}
     root = {i: i for i in sets}
 
+    def alike(a, b):
+        return (fps[a] ^ fps[b]).bit_count() <= 14
+
     def find(x):
         while root[x] != x:
             x = root[x]
@@ -49,7 +52,7 @@ def test_decisions_against_brute_force(spark, sf):
 
     for a in sorted(sets):
         for b in sorted(sets):
-            near = a < b and (np.bitwise_count(np.uint64(fps[a] ^ fps[b])) <= 14 or max(len(sets[a]), len(sets[b])) <= simhash.SMALL)
+            near = a < b and (alike(a, b) or max(len(sets[a]), len(sets[b])) <= simhash.SMALL)
             if near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
