@@ -31,7 +31,9 @@ CHUNK = 1 << 16
 #: Bits of a sketch, and words of 64 that it takes.
 SKETCH, WORDS = 256, 4
 #: Sketches of sets below this class of size are parities, which bound the difference of sets; above it they sample.
-PARITY_CLASSES = 24
+PARITY_CLASSES = 27
+#: Bounds computed from a similarity in floating point are looser by this, so that pairs right at it stay.
+SLACK = 1e-6
 #: Members of a bucket that all its members are compared with before pairs are.
 LEADERS = 16
 #: Sizes of one class differ by this factor at most.
@@ -66,7 +68,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def head(hashes: np.ndarray, similarity: float) -> list[int]:
     """Of a set of hashes in order the first few, of which sets of at least that Jaccard similarity share one."""
     n = len(hashes)
-    return hashes[: n - math.ceil(similarity * n) + 1].view(np.int64).tolist() if 0 < n <= SMALL else []
+    return hashes[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64).tolist() if 0 < n <= SMALL else []
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:
@@ -83,9 +85,9 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
 
 
 def most_apart(similarity: float) -> int:
-    """Bits in which the samples of sets of that similarity differ at most, but for one pair in two hundred."""
+    """Bits in which the samples of sets of that similarity differ at most, but for one pair in a thousand."""
     p = (1 - similarity) / 2
-    return int(SKETCH * p + 2.6 * math.sqrt(SKETCH * p * (1 - p)))
+    return int(SKETCH * p + 3.2 * math.sqrt(SKETCH * p * (1 - p)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -294,7 +296,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     own = map_arrow(docs.join(ids, docs.doc_id == ids.id, "left_semi").select(F.col("doc_id").cast("long"), "text"), sets, "id long, set binary")
@@ -347,9 +349,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similar
         few, many = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
         apart = sum((distance(f"{x}.{m}", f"{y}.{m}") for m in marks[1:]), distance(f"{x}.{marks[0]}", f"{y}.{marks[0]}"))
         # Of sets this similar, the difference holds at most this share of both sizes.
-        most = F.when(F.col("at") < PARITY_CLASSES, F.lit((1 - similarity) / (1 + similarity)) * (few + many)).otherwise(most_apart(similarity))
+        most = F.when(F.col("at") < PARITY_CLASSES, F.lit((1 - similarity) / (1 + similarity)) * (few + many) + SLACK).otherwise(most_apart(similarity))
         near = (F.col("part") == len(parts)) | (distance(f"{x}.fp", f"{y}.fp") <= radius)
-        return near & (few >= F.lit(similarity) * many) & (apart <= most)
+        return near & (few >= F.lit(similarity) * many - SLACK) & (apart <= most)
 
     def first_part(x: str, y: str) -> Column:
         """Whether no earlier part has brought the pair together, so that it is met once."""

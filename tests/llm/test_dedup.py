@@ -255,6 +255,15 @@ def test_small_sets_meet_whatever_their_fingerprints():
             assert set(simhash.head(a, 0.8)) & set(simhash.head(b, 0.8))
 
 
+@pytest.mark.parametrize("words", [9, 14, 19, 29])
+def test_pairs_right_at_the_similarity_are_linked(spark, words):
+    """The shorter text has four fifths of the longer one's shingles."""
+    long = [f"w{i}" for i in range(words)]
+    short = long[: 4 + 4 * (words - 4) // 5]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(short[:-1])[::-1])], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     unique = drop_exact_duplicates(odd_docs)
     out = simhash.drop_near_duplicates(unique)
