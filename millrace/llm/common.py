@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +42,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system, which idle workers would keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with this package at hand: its source goes to the executors once a session, wherever they run."""
     sc = df.sparkSession.sparkContext
@@ -53,7 +67,12 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
                 z.write(p, p.relative_to(top.parent))
         sc.addPyFile(str(out))
         sc._millrace_sent = True
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def word_count(text: Column) -> Column:

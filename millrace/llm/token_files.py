@@ -167,7 +167,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         ids = reader.ids(i)
                         part.append((reader.doc_id(i), start, ids.tobytes()))
                         start, size = start + len(ids), size + ids.nbytes
-                        if size >= 1 << 22 or i + 1 == len(reader):
+                        if size >= 1 << 20 or i + 1 == len(reader):
                             d, s, b = zip(*part, strict=True)
                             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(b, pa.binary())], ["doc_id", "start", "ids"])
                             part, size = [], 0

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: The encoder remembers so many words (about 200 bytes each), then asks the library for the others each time.
-MOST_WORDS = 350_000
+MOST_WORDS = 300_000
 #: A word is remembered when it comes a second time; a byte for each of so many hash values tells.
 CELLS = 1 << 22
 #: Characters for which lower case, composition and white space are the same in Python and in the library.
