@@ -91,7 +91,10 @@ def most_apart(similarity: float) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
-    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles) and, with a similarity, sketches and the head of small sets."""
+    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles) and, with a similarity, sketches and the head of small sets.
+
+    With a similarity, which is one of sets, fp counts each shingle once; else as often as it occurs.
+    """
     schema = "doc_id long, fp long, n long" + ", sketches array<long>, head array<long>" * (similarity is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +102,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, similarity: float | None = N
             fps, sizes, marks, heads = [], [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), shingle)
-                fps.append(fingerprint(h))
-                h = np.unique(h)
+                once = np.unique(h)
+                fps.append(fingerprint(h if similarity is None else once))
+                h = once
                 sizes.append(len(h))
                 if similarity is not None:
                     marks.append(sketches(h).tolist())

@@ -264,6 +264,17 @@ def test_pairs_right_at_the_similarity_are_linked(spark, words):
     assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_repeats_of_a_line_do_not_part_near_duplicates(spark):
+    """Texts that differ only in how often a line occurs."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[:12] * 30))]
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     unique = drop_exact_duplicates(odd_docs)
     out = simhash.drop_near_duplicates(unique)
