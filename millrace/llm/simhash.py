@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle."""
+"""SimHash components by the generalised pigeonhole principle, and near-duplicates by prefixes of sets of shingles."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import components, map_arrow, stored
@@ -24,20 +24,18 @@ MOST_PARTS = 8
 MOST_VARIANTS = 800
 #: Cost of probing a signature (made, shuffled, sorted) in comparisons of two fingerprints.
 PROBE_COST = 50
-#: Sets of at most so many shingles also meet on shared shingles: so few leave a fingerprint to chance.
+#: Sets of at most so many shingles are small; only tests that leave larger ones to fingerprints tell them apart.
 SMALL = 40
+#: Shingles that heads put last, and shingles that are counted at a time to find them.
+COMMON, COUNTED = 1 << 17, 1 << 20
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
 #: Bits of a sketch, and words of 64 that it takes.
 SKETCH, WORDS = 256, 4
-#: Sketches of sets below this class of size are parities, which bound the difference of sets; above it they sample.
-PARITY_CLASSES = 27
 #: Bounds computed from a similarity in floating point are looser by this, so that pairs right at it stay.
 SLACK = 1e-6
-#: Members of a bucket that all its members are compared with before pairs are.
-LEADERS = 16
-#: Sizes of one class differ by this factor at most.
-SIZE_STEP = 1.25
+#: Orders of documents by which buckets choose the member that all their members are compared with before pairs are.
+LEADERS = 4
 
 
 # --- fingerprints
@@ -65,10 +63,20 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def head(hashes: np.ndarray, similarity: float) -> list[int]:
-    """Of a set of hashes in order the first few, of which sets of at least that Jaccard similarity share one."""
+def head(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None, rank: np.ndarray | None = None) -> list[int]:
+    """Of a set of hashes in order the first few, of which sets of at least that Jaccard similarity share one.
+
+    Hashes in `common` (in order) come after all others, by their `rank`. Any order that all sets share gives such heads.
+    """
     n = len(hashes)
-    return hashes[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64).tolist() if 0 < n <= SMALL else []
+    if not n:
+        return []
+    if common is not None and len(common):
+        at = np.searchsorted(common, hashes) % len(common)
+        last = np.where(common[at] == hashes, rank[at] + 1, 0)
+        if last.any():
+            hashes = hashes[np.argsort(last, kind="stable")]
+    return hashes[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64).tolist()
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:
@@ -90,31 +98,71 @@ def most_apart(similarity: float) -> int:
     return int(SKETCH * p + 3.2 * math.sqrt(SKETCH * p * (1 - p)))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
-    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles) and, with a similarity, sketches and the head of small sets.
-
-    With a similarity, which is one of sets, fp counts each shingle once; else as often as it occurs.
-    """
-    schema = "doc_id long, fp long, n long" + ", sketches array<long>, head array<long>" * (similarity is not None)
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, marks, heads = [], [], [], []
+            fps, sizes = [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), shingle)
-                once = np.unique(h)
-                fps.append(fingerprint(h if similarity is None else once))
-                h = once
-                sizes.append(len(h))
-                if similarity is not None:
-                    marks.append(sketches(h).tolist())
-                    heads.append(head(h, similarity))
-            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())]
-            if similarity is not None:
-                columns += [pa.array(x, pa.list_(pa.int64())) for x in (marks, heads)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sketches", "head"][: len(columns)])
+                fps.append(fingerprint(h))
+                sizes.append(len(np.unique(h)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long, n long")
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most COMMON shingles that come in most documents: their hashes in order, and their ranks from rarer to commoner.
+
+    Of every run of about COUNTED shingles those of two documents and more are counted. They set only the order of heads, so what
+    isn't among them costs time and no pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+            h, k = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_pydict({"h": h[k > 1].view(np.int64), "k": k[k > 1].astype(np.int64)})
+
+        sets, total = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                sets.append(np.unique(shingle_hashes(text.as_py(), shingle)))
+                total += len(sets[-1])
+                if total >= COUNTED:
+                    yield counted(sets)
+                    sets, total = [], 0
+        if sets:
+            yield counted(sets)
+
+    found = map_arrow(docs.select("text"), run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
+    found = found.orderBy(F.desc("k"), "h").limit(COMMON).collect()
+    h = np.array([r.h for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h), 0, -1)[order]
+
+
+def shingle_heads(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of each whole text: doc_id, n (different shingles), parities (of its sketch), head."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sizes, marks, heads = [], [], []
+                for text in part.column(1):
+                    h = np.unique(shingle_hashes(text.as_py(), shingle))
+                    sizes.append(len(h))
+                    marks.append(sketches(h)[:WORDS].tolist())
+                    heads.append(head(h, similarity, common, rank))
+                columns = [pa.array(sizes, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (marks, heads)]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "parities", "head"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return map_arrow(rows, run, "doc_id long, n long, parities array<long>, head array<long>")
 
 
 # --- parts and thresholds
@@ -310,84 +358,63 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return stored(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), keep, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of near-duplicates: doc_id, keep_id (the smallest doc_id of the group), kept.
 
-    Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts. Candidates are pairs whose
-    numbers of shingles allow it and whose fingerprints differ in at most `radius` bits (those of sets as similar as 0.8 in about
-    10, rarely in more than 14) and whose sketches don't rule it out, or, of sets of at most SMALL shingles, that share one of the first
-    in order of hash, as similar ones must. First each bucket's members are compared with LEADERS of it; pairs that this has
-    joined already aren't compared again, so a large group of near copies costs little more than its size. Documents without words
+    Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts, and all such pairs are
+    found, of any size: the sets share one of their first shingles in an order that puts common ones last (head), and neither their sizes,
+    the place of the first shared shingle nor the parities of their sketches, which bound what sets can share, rule the pair out.
+    First each document is compared with one other of each bucket; then pairs of a bucket that this hasn't joined are,
+    so a large group of near copies costs little more than its size. Documents without words
     aren't linked. doc_ids are to be unique; null ones are kept unlinked. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, shingle, similarity), "fps")
-    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "fp", "n", "sketches", "head")
-    nodes = nodes.withColumn("c", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
-    count, both = bit_counts(nodes)
-    # Classes of size are powers of SIZE_STEP, so there are few.
-    per = {r.c: r.k for r in nodes.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
-    meet = sum(k * (k + 2 * per.get(c - 1, 0)) for c, k in per.items()) / max(count, 1) ** 2
-    parts = plan_parts(count, both, radius, meet)
-
-    def keyed(nodes: DataFrame, probe: bool) -> DataFrame:
-        """Signatures, and as a further part the heads of small sets."""
-        small = nodes.select("*", F.lit(len(parts)).alias("part"), F.explode("head").alias("key"))
-        return signatures(nodes, parts, probe).unionByName(small).drop("head")
-
-    marks = [f"s{i}" for i in range(WORDS)]
-
-    def placed(rows: DataFrame, at: Column) -> DataFrame:
-        """Under a class of size, with the sketch that is compared there."""
-        rows = rows.withColumn("at", at)
-        pick = [F.get("sketches", F.when(F.col("at") < PARITY_CLASSES, i).otherwise(WORDS + i)) for i in range(WORDS)]
-        return rows.withColumns(dict(zip(marks, pick, strict=True))).drop("sketches")
-
-    def probing(nodes: DataFrame, probe: bool) -> DataFrame:
-        return placed(keyed(nodes, probe), F.col("c"))
-
-    def indexed(nodes: DataFrame) -> DataFrame:
-        """Every document under its class of size and the next; probes look in their own."""
-        return placed(keyed(nodes, probe=False), F.explode(F.array(F.col("c"), F.col("c") + 1)))
-
-    def like(x: str, y: str) -> Column:
+    rows = stored(shingle_heads(docs, shingle, similarity), "heads")
+    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "n", "parities", "head")
+
+    def may(x: str, y: str) -> Column:
+        """Whether sets can be similar by their sizes, and if nothing before their places `at` is shared."""
         few, many = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        apart = sum((distance(f"{x}.{m}", f"{y}.{m}") for m in marks[1:]), distance(f"{x}.{marks[0]}", f"{y}.{marks[0]}"))
-        # Of sets this similar, the difference holds at most this share of both sizes.
-        most = F.when(F.col("at") < PARITY_CLASSES, F.lit((1 - similarity) / (1 + similarity)) * (few + many) + SLACK).otherwise(most_apart(similarity))
-        near = (F.col("part") == len(parts)) | (distance(f"{x}.fp", f"{y}.fp") <= radius)
-        return near & (few >= F.lit(similarity) * many - SLACK) & (apart <= most)
-
-    def first_part(x: str, y: str) -> Column:
-        """Whether no earlier part has brought the pair together, so that it is met once."""
-        out = F.col("part") == len(parts)
-        apart = F.lit(True)
-        for i, p in enumerate(parts):
-            out |= (F.col("part") == i) & apart
-            apart &= F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp")).bitwiseAND(F.lit(p.mask))) > p.threshold
-        return out
+        shared = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        return (few >= F.lit(similarity) * many - SLACK) & (shared >= F.lit(similarity / (1 + similarity)) * (few + many) - SLACK)
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
 
-    slot = F.pmod(F.xxhash64("id"), F.lit(LEADERS)).cast("int").alias("slot")
-    leaders = indexed(nodes).groupBy("part", "key", "at", slot).agg(F.min(F.struct("id", "fp", "n", *marks)).alias("h"))
-    leaders = stored(leaders.select("part", "key", "at", "h.*"), "leaders").alias("q")
-    own = probing(nodes, probe=False).alias("p")
-    star = own.join(leaders, ["part", "key", "at"]).where((F.col("p.id") != F.col("q.id")) & like("p", "q"))
-    first = verified(star.select(*pair("p", "q")), docs, shingle, similarity)
-    comps = components(first)
-    nodes = nodes.join(comps, nodes.id == comps.node, "left").drop("node").withColumn("g", F.coalesce("component", "id"))
-    nodes = stored(nodes.drop("component"), "nodes")
-    p, q = probing(nodes, probe=True).alias("p"), indexed(nodes).alias("q")
-    once = (F.col("q.c") < F.col("p.c")) | ((F.col("q.c") == F.col("p.c")) & (F.col("p.id") < F.col("q.id")))
-    met = once & (F.col("p.g") != F.col("q.g")) & like("p", "q") & first_part("p", "q")
-    more = verified(p.join(q, ["part", "key", "at"]).where(met).select(*pair("p", "q")), docs, shingle, similarity)
-    out = rows.join(stored(components(first.unionAll(more)), "comps"), F.col("doc_id") == F.col("node"), "left")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that parities don't rule out, verified."""
+        pairs = stored(pairs.distinct(), "candidates")
+        for x in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("parities").alias(f"p{x}")), x)
+        apart = sum((distance(F.get("pa", i), F.get("pb", i)) for i in range(1, WORDS)), distance(F.get("pa", 0), F.get("pb", 0)))
+        # Of sets this similar, the difference holds at most this share of both sizes.
+        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + SLACK
+        return verified(pairs.where(apart <= most).select("a", "b"), docs, shingle, similarity)
+
+    entry = F.struct("id", "n", "at")
+    entries = nodes.select("id", "n", F.posexplode("head").alias("at", "key"))
+    # A bucket's leader is the first by one of LEADERS orders of documents.
+    bucket = Window.partitionBy("key").orderBy(F.xxhash64("id", F.pmod("key", F.lit(LEADERS))), "id")
+    entries = entries.withColumn("lead", F.first(entry).over(bucket)).withColumn("last", F.last(entry).over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    met = stored(entries.where("lead.id <> last.id").select("key", "id", "n", "at", "lead"), "met")
+    star = met.select(F.struct("id", "n", "at").alias("p"), F.col("lead").alias("q")).where(F.col("p.id") != F.col("q.id"))
+    first = linked(star.where(may("p", "q")).select(*pair("p", "q")))
+    comps = stored(components(first), "joined")
+    met = met.drop("lead").join(comps, met.id == comps.node, "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("g"))
+    # Groups that meet in a bucket, and then their members: those of a bucket with one group aren't touched again.
+    several = met.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
+    met = stored(met.join(several, "key", "left_semi"), "several")
+    groups = met.select("key", "g").distinct()
+    two = groups.withColumnRenamed("g", "g1").join(groups.withColumnRenamed("g", "g2"), "key").where("g1 < g2")
+    p = met.select("key", F.col("g").alias("g1"), F.struct("id", "n", "at").alias("p"))
+    q = met.select("key", F.col("g").alias("g2"), F.struct("id", "n", "at").alias("q"))
+    more = two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(may("p", "q"))
+    more = linked(more.select(*pair("p", "q")))
+    out = rows.select("doc_id").join(stored(components(first.unionAll(more)), "comps"), F.col("doc_id") == F.col("node"), "left")
     keep = F.coalesce("component", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that near_duplicates() keeps, with all columns."""
-    gone = near_duplicates(docs, shingle, radius, similarity).where("not kept").select(F.col("doc_id").alias("__id"))
+    gone = near_duplicates(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("__id"))
     return docs.join(stored(gone, "gone"), docs.doc_id == F.col("__id"), "left_anti")

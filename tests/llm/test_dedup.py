@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -264,6 +265,32 @@ def test_pairs_right_at_the_similarity_are_linked(spark, words):
     assert {r.doc_id: r.keep_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_every_size_of_sets_has_heads_that_meet():
+    rng = np.random.default_rng(12)
+    common = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    rank = rng.permutation(len(common)) + 1
+    for n in (1, 41, 45, 50, 100, 1000):
+        for _ in range(50):
+            a = np.unique(np.append(rng.choice(common, min(n // 2, 200), replace=False), rng.integers(0, 2**64, n - n // 2, dtype=np.uint64)))
+            b = rng.permutation(a)[: math.ceil(0.8 * len(a))]
+            assert set(simhash.head(a, 0.8, common, rank)) & set(simhash.head(np.sort(b), 0.8, common, rank))
+
+
+def test_pairs_whose_fingerprints_lie_apart_are_linked(spark):
+    """Similar sets of 41 and more shingles, each pair further apart than 14 bits, and a line that is in all texts."""
+    rng, rows = random.Random(17), []
+    line = [f"l{i}" for i in range(30)]
+    while len(rows) < 40:
+        n = rng.choice([41, 60, 120, 400])
+        long = [f"w{rng.randrange(10**6)}" for _ in range(n)] + line
+        short = long[: 4 + math.ceil(0.8 * (len(long) - 4))]
+        a, b = (np.unique(simhash.shingle_hashes(" ".join(w), 5)) for w in (long, short))
+        if ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) % 2**64).bit_count() > 14:
+            rows += [(len(rows), " ".join(long)), (len(rows) + 1, " ".join(short))]
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_repeats_of_a_line_do_not_part_near_duplicates(spark):
     """Texts that differ only in how often a line occurs."""
     rng = random.Random(13)
