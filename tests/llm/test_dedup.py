@@ -224,6 +224,39 @@ def test_near_duplicates_against_all_pairs(spark, docs, texts):
     assert got == want
 
 
+def test_near_duplicates_against_every_pair(spark, texts):
+    """Every pair of the similarity is expected, whatever the fingerprints and sizes."""
+    rng, rows = random.Random(19), dict(texts)
+    for k in range(6):
+        t = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range((30, 45, 60, 200, 500, 1500)[k])]
+        for j in range(6):
+            rows[10_000 + 10 * k + j] = " ".join(t)
+            for _ in range(len(t) // 100 + 1):
+                t[rng.randrange(len(t))] = f"changed{rng.randrange(99)}"
+            t += t[5:17] * j
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows.items()}
+    parent = {i: i for i in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids, linked = sorted(i for i in rows if sets[i]), 0
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            few, many = sorted((len(sets[a]), len(sets[b])))
+            both = len(sets[a] & sets[b]) if few >= 0.8 * many else 0
+            if both and 10 * both >= 8 * (few + many - both):
+                linked += 1
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert linked >= 30
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: (find(i), find(i) == i) for i in rows}
+
+
 def apart(a, b):
     """Differing parities and samples."""
     x = (simhash.sketches(a) ^ simhash.sketches(b)).view(np.uint64)
