@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import numbered, stored, word_count
 
-#: Pieces that a shard's capacity is thought in: a group larger than that is placed by itself, a far larger one is split.
+#: Pieces that a shard's capacity is thought in: a group larger than that is placed by itself. One larger than a shard is split
+#: into pieces of BIG of them.
 GRAIN, BIG = 256, 8
 
 
@@ -34,9 +35,9 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Shard and slot of each document: doc_id, size, tokens, text_crc32, shard, slot; shards' sums of `size` come near equal.
 
     Size is UTF-8 bytes plus 1 (null text: 1). Documents with equal texts form a group. Groups that hold more than 1/GRAIN
-    of a shard in any dimension (at most 3 * GRAIN * shards can) are placed one by one; those over BIG / GRAIN of a shard are split by
-    document first, so no group outgrows a shard. All others are gathered by hash into GRAIN * shards bundles, which are
-    placed the same way. So the driver places a number of units that is bounded by the parameters, whatever the input.
+    of a shard in any dimension (at most 3 * GRAIN * shards can) are placed one by one; only those over a whole shard are split by
+    document first, into pieces of about BIG / GRAIN of a shard. All others are gathered by hash into GRAIN * shards bundles, which are
+    placed the same way, so each stays together. So the driver places a number of units that is bounded by the parameters, whatever the input.
     Null and empty texts are groups of their own. Repeated rows may take either's slot. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -57,7 +58,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = rows.groupBy("g").agg(*dims)
     part = F.greatest(*[F.col(c) / F.lit(k) for c, k in zip(("size", "tokens", "n"), caps, strict=True)])
     heavy = groups.withColumn("part", part).where(F.col("part") > 1 / GRAIN)
-    heavy = [(r.g, max(1, int(np.ceil(r.part * GRAIN / BIG)))) for r in heavy.select("g", "part").collect()]
+    heavy = [(r.g, int(np.ceil(r.part * GRAIN / BIG)) if r.part > 1 else 1) for r in heavy.select("g", "part").collect()]
     table = spark.createDataFrame(heavy, "g long, pieces int")
     # A unit is (g, piece) for heavy groups and (bundle, -1) for the rest.
     rows = rows.join(F.broadcast(table), "g", "left")

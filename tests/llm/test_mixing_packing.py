@@ -47,6 +47,20 @@ def test_shards_of_odd_rows_and_a_hot_text(spark, odd_docs, no_docs):
     assert max(n.values()) - min(n.values()) <= 0.02 * sum(n.values()) / 8
 
 
+def test_equal_texts_that_fit_a_shard_stay_together(spark):
+    """Groups of 0.1 to 0.9 of a shard are whole, one of two shards isn't."""
+    groups = {"a": 50, "b": 200, "c": 450, "d": 1000}
+    rows = [f"{g} " + "word " * 30 for g, n in groups.items() for _ in range(n)] + [f"{i} " + "word " * 30 for i in range(2300)]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 8).collect()
+    at = defaultdict(set)
+    for r in got:
+        at[rows[r.doc_id][0] if rows[r.doc_id][0] in groups else None].add(r.shard)
+    assert [len(at[g]) for g in "abc"] == [1, 1, 1]
+    assert len(at["d"]) > 1
+    sizes = np.bincount([r.shard for r in got], [r.size for r in got])
+    assert sizes.max() - sizes.min() <= 0.05 * sizes.mean()
+
+
 def test_units_go_where_the_product_is_highest():
     to = sharding.place(np.array([[8.0, 1, 1], [8, 1, 1], [1, 8, 1], [1, 8, 1]]), 2)
     assert to[0] != to[1]
