@@ -94,6 +94,10 @@ def pattern_of(votes: list[int]) -> int:
     return sum(v * 3**i for i, v in enumerate(votes))
 
 
+#: The pattern of texts that no labeller votes on; their posterior is the prior, which says nothing about them.
+SILENT = pattern_of([NONE] * len(LABELLERS))
+
+
 def accuracies(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of "good" by vote pattern, and each labeller's share of each vote given bad and good, by expectation-maximisation.
 
@@ -158,8 +162,8 @@ class Classifier:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Votes on all documents, accuracies from the counts of all vote patterns, and a scorer fitted to the posteriors.
 
-    The scorer sees the `sample` documents of each class (posterior below and above a half) with the smallest hashes of doc_id. An
-    empty class leaves it to the constant.
+    The scorer sees the `sample` documents of each class (posterior below and above a half) with the smallest hashes of doc_id, of
+    those that a labeller votes on: texts that are too short for any teach it nothing. An empty class leaves it to the constant.
     """
     spark = docs.sparkSession
 
@@ -174,7 +178,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     posterior, share = accuracies(counts)
     ends = {}
     for good in (False, True):
-        pats = [p for p, q in posterior.items() if (q > 0.5) == good]
+        pats = [p for p, q in posterior.items() if (q > 0.5) == good and p != SILENT]
         own = votes.where(F.col("pattern").isin(pats)).orderBy("lot").limit(sample) if pats else None
         ends[good] = own.agg(F.max("lot")).first()[0] if own else None
     top = max((e for e in ends.values() if e is not None), default=None)
@@ -188,9 +192,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
                 out = []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     x = Looked(t.as_py())
-                    q = posterior[pattern_of(x.votes())]
+                    p = pattern_of(x.votes())
+                    q = posterior[p]
                     end = ends[q > 0.5]
-                    if end is not None and i <= end:
+                    if p != SILENT and end is not None and i <= end:
                         k, v = x.features()
                         out.append({"lot": i, "at": k.tolist(), "x": v.tolist(), "y": q})
                 if out:
@@ -208,8 +213,8 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
 
     Labellers vote bad, good or not at all on symbols, runs of marks, capitals, bars, repeated words, variety, sentence ends and
     lengths of words. Expectation-maximisation over the counts of all vote patterns finds how far each is right, without labels; the
-    posteriors teach a linear scorer of hashed words and word shapes, which decides. Null and empty texts get no vote against them that
-    needs words and are scored like others. Rows and repeats stay as they are; an empty table gives no rows.
+    posteriors teach a linear scorer of hashed words and word shapes, which decides. Texts of fewer than LEAST_WORDS words, null and
+    empty ones included, get no votes: their posterior is the prior, the scorer isn't taught on them, and they are scored like others. Rows and repeats stay as they are; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
 

@@ -39,6 +39,16 @@ def test_labels_held_out_from_learning_are_met(spark, sf, docs):
     assert sum(not got[i] for i in junk) >= 0.8 * len(junk)
 
 
+def test_texts_without_votes_teach_the_scorer_nothing(spark, docs, monkeypatch):
+    """Short junk isn't taught as good."""
+    short = spark.createDataFrame([(10**6 + i, f"Reon*** haeand$$$ and&&& w{i}###") for i in range(60)], "doc_id long, text string")
+    rows, taught, fit = docs.select("doc_id", "text"), [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda r: taught.append(len(r)) or fit(r))
+    voted = sum(any(v != quality.NONE for v in quality.Looked(r.text).votes()) for r in rows.collect())
+    quality.learn(rows.unionAll(short))
+    assert taught == [voted]
+
+
 def test_quality_of_odd_rows(odd_docs, no_docs):
     got = quality.score_quality(odd_docs).collect()
     assert len(got) == odd_docs.count()
