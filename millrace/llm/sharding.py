@@ -34,6 +34,8 @@ def place(units: np.ndarray, shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Shard and slot of each document: doc_id, size, tokens, text_crc32, shard, slot; shards' sums of `size` come near equal.
 
+    Tokens are words between blanks: a long text without blanks counts 1, a null one 0.
+
     Size is UTF-8 bytes plus 1 (null text: 1). Documents with equal texts form a group. Groups that hold more than 1/GRAIN
     of a shard in any dimension (at most 3 * GRAIN * shards can) are placed one by one; only those over a whole shard are split by
     document first, into pieces of about BIG / GRAIN of a shard. All others are gathered by hash into GRAIN * shards bundles, which are
