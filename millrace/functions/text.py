@@ -30,5 +30,5 @@ def leading_int(c: Column) -> Column:
 
 
 def row_text(*columns: str) -> Column:
-    """A row as text: values joined by commas, without quotes."""
-    return F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
+    """A row as text: values joined by commas, without quotes; a null is an empty field, so each row has as many fields as columns."""
+    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])

@@ -7,7 +7,7 @@ import time
 
 class Timer:
     def __init__(self) -> None:
-        self.total, self.laps, self.since = 0.0, [], None
+        self.total, self.laps, self.since, self.lap = 0.0, [], None, 0.0
 
     def start(self) -> Timer:
         if self.since is None:
@@ -25,12 +25,16 @@ class Timer:
         return self.total + (time.perf_counter() - self.since if self.since is not None else 0.0)
 
     def snapshot(self, name: str) -> float:
-        """Keep the time so far under a name."""
-        self.laps.append((name, self.seconds))
+        """Keep the time since the last snapshot, or the start, under a name; pauses don't count."""
+        now = self.seconds
+        self.laps.append((name, now - self.lap))
+        self.lap = now
         return self.laps[-1][1]
 
     def merge(self, other: Timer) -> Timer:
+        """Add another timer's time and laps; the time isn't part of the next lap."""
         self.total += other.seconds
+        self.lap += other.seconds
         self.laps += other.laps
         return self
 

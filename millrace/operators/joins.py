@@ -11,7 +11,7 @@ from millrace.plans.inspect import estimated_bytes
 
 #: Planner hint by strategy; the build side is the right one.
 HINTS = {"auto": None, "broadcast": "broadcast", "shuffle_hash": "shuffle_hash", "merge": "merge", "nested_loop": "shuffle_replicate_nl", "radix": "shuffle_hash"}
-#: Names that the reference strategies go by.
+# Names that strategies also go by.
 STRATEGIES = {
     "NLJ": "nested_loop",
     "TNLJ": "nested_loop",
@@ -22,8 +22,8 @@ STRATEGIES = {
     "TSMJ": "merge",
     "TSMJv2": "merge",
 }
-#: A build side whose estimated size is above this isn't broadcast, whatever the strategy says.
-MOST_BROADCAST = 256 << 20
+#: A build side whose estimated size is above this isn't broadcast, whatever the strategy says. Estimates are of compressed files, which grow several times in memory.
+MOST_BROADCAST = 64 << 20
 #: Nested loops are for pairs of small inputs: more estimated bytes on either side raise.
 MOST_NESTED = 64 << 20
 
@@ -111,10 +111,15 @@ def zip_join_chunked(left: DataFrame, right: DataFrame, left_key: str, right_key
     return zip_join(cut, right, left_key, right_key, left_order, right_order, ["chunk"])
 
 
-def chunked_build_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order_by: list[str], chunks: int) -> DataFrame:
-    """A hash join with a build side cut into chunks by `order_by`: the last row of a key counts within each chunk, once for each chunk."""
+def chunked_build_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, order_by: list[str], chunks: int | None = None, size: int | None = None
+) -> DataFrame:
+    """A hash join with a build side cut into chunks by `order_by`: the last row of a key counts within each chunk, once for each chunk.
+
+    `chunks` and `size` say where chunks end, as in range_chunk(); chunk_rows() is a size by threads and by what a cache holds.
+    """
     names = [*right.columns, *left.columns]
-    cut = range_chunk(right, order_by, chunks)
+    cut = range_chunk(right, order_by, chunks, size)
     lead = [c for c in order_by if c != right_key]
     rest = [c for c in right.columns if c != right_key and c not in lead]
     last = cut.groupBy(right_key, "chunk").agg(F.max(F.struct(*lead, *rest)).alias("__row"))

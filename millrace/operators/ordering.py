@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from millrace.operators.partitioning import ranked
 
-def by_key(df: DataFrame, key: str, within_partitions: bool = False) -> DataFrame:
+
+def by_key(df: DataFrame, key: str, within_partitions: bool = False, position: str | None = None) -> DataFrame:
+    """Ordered by the key; with `position` a column of that name says each row's place, from 0, and the rows may come in any order."""
+    if position:
+        return ranked(df, [key], position)
     return df.sortWithinPartitions(key) if within_partitions else df.orderBy(key)
 
 

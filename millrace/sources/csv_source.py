@@ -20,9 +20,16 @@ class Loaded:
     rejected: DataFrame
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of a text file, the header included: value."""
-    return spark.read.text(path)
+#: Columns that say where a line is: order by them for the order of the files.
+POSITION = ["file", "block", "line"]
+
+
+def raw_lines(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """Every line of a text file, the header included: value, and with `position` the columns of POSITION."""
+    lines = spark.read.text(path)
+    if not position:
+        return lines
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def raw_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -36,14 +43,16 @@ def body_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(field: Field, text: Column) -> Column:
+    if field.real:
+        return text.try_cast("float")
     return leading_int(text) if field.width is None else truncate_bytes(text, field.width)
 
 
 def load(spark: SparkSession, path: str, fields: tuple[Field, ...], strict: bool = False, missing: str = "error") -> Loaded:
     """Lines split at commas, one trailing empty field lost, columns by position.
 
-    A row needs exactly the relation's number of fields, and a 32-bit integer at the beginning of each integer field (blanks before and anything after
-    it are allowed); others are rejected, or fail the query if `strict`. Texts are cut at their width in bytes.
+    A row needs exactly the relation's number of fields, a 32-bit integer at the beginning of each integer field (blanks before and anything after
+    it are allowed) and a number in each real one; others are rejected, or fail the query if `strict`. Texts are cut at their width in bytes.
     `missing="empty"` makes a file that doesn't exist an empty relation. Files are split between tasks; rows have no order.
     """
     if missing not in ("error", "empty"):

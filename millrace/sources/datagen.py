@@ -40,7 +40,9 @@ def letters(seed: int, name: str, n: int, row: Column) -> Column:
 
 
 def filled(spark: SparkSession, n: int, fields: tuple[Field, ...], seed: int, low: int, high: int, key: str | None = None, value: Column | None = None) -> DataFrame:
-    """Rows 1 to n: the first column counts, `key` has `value`, others are uniform integers or letters."""
+    """Rows 1 to n: the first column counts, `key` has `value`, others are uniform integers or floats, or letters. Counts have 32 bits, so more rows raise."""
+    if n >= 1 << 31:
+        raise ValueError("ids have 32 bits")
     row = F.col("row")
     columns = []
     for i, f in enumerate(fields):
@@ -48,6 +50,8 @@ def filled(spark: SparkSession, n: int, fields: tuple[Field, ...], seed: int, lo
             c = row.cast("int")
         elif f.name == key:
             c = value.cast("int")
+        elif f.real:
+            c = (uniform(seed, f.name, row) * (high - low) + low).cast("float")
         else:
             c = between(seed, f.name, low, high, row) if f.width is None else letters(seed, f.name, f.width, row)
         columns.append(c.alias(f.name))
@@ -84,18 +88,41 @@ def zipf_cast_info(spark: SparkSession, n: int, seed: int = 42, low: int = LOW,
     return rows.select(*[F.col("v").alias("movie_id") if f.name == "movie_id" else F.col(f.name) for f in CAST_INFO])
 
 
+def smallest(spark: SparkSession, n: int, k: int, seed: int, cells: int = 4096, few: int = 10_000) -> tuple[int, int]:
+    """The k-th smallest (hash, row) of rows 1 to n: histograms of hashes, each within the cell that the one before ended in, until a cell has few rows."""
+    rows = spark.range(1, n + 1).select(lot(seed, F.col("id")).alias("h"), F.col("id").alias("row"))
+    low, width, before = 0, 1 << 62, 0
+    while True:
+        inside = rows.where((F.col("h") >= low) & (F.col("h") < low + width))
+        width = max(1, width // cells)
+        for r in sorted(inside.groupBy(F.floor((F.col("h") - low) / F.lit(width)).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if before + r.n >= k:
+                break
+            before += r.n
+        low += r.cell * width
+        if r.n <= few or width == 1:
+            found = inside.where((F.col("h") >= low) & (F.col("h") < low + width)).orderBy("h", "row").limit(k - before).collect()
+            return tuple(found[-1])
+
+
+def lot(seed: int, row: Column) -> Column:
+    """A hash of 62 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("match"), row), 2)
+
+
 def match_rate_cast_info(spark: SparkSession, n: int, rate: float, seed: int = 42, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """Uniform keys, but for exactly floor(n * (1 - rate)) rows whose key, high + BEYOND, matches nothing.
+    """Uniform keys, but for exactly floor(n * (1 - rate)) random rows whose key, high + BEYOND, matches nothing.
 
-    Which ones a permutation of the rows says (multiplication by a number prime to n), so no row is sorted or moved.
+    Those are the rows with the smallest hashes; histograms find where they end, so no row is sorted or moved.
     """
     if not 0 <= rate <= 1:
         raise ValueError("the rate lies between 0 and 1")
-    step = max(1, int(n * 0.6180339887498949)) + seed % 97
-    while math.gcd(step, max(n, 1)) != 1:
-        step += 1
-    place = F.pmod(F.col("row") * F.lit(step % max(n, 1)) + seed, F.lit(max(n, 1)))
-    key = F.when(place < math.floor(n * (1 - rate)), high + BEYOND).otherwise(between(seed, "movie_id", low, high, F.col("row")))
+    k = math.floor(n * (1 - rate))
+    key = between(seed, "movie_id", low, high, F.col("row"))
+    if k:
+        h, last = smallest(spark, n, k, seed)
+        own = lot(seed, F.col("row"))
+        key = F.when((own < h) | ((own == h) & (F.col("row") <= last)), high + BEYOND).otherwise(key)
     return filled(spark, n, CAST_INFO, seed, low, high, "movie_id", key)
 
 

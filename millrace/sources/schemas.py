@@ -9,11 +9,16 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Field:
-    """A column by its name in files and in the engine; `width` is in bytes, None for 32-bit integers."""
+    """A column by its name in files and in the engine; `width` is in bytes, None for numbers: 32-bit integers, or 32-bit floats if `real`."""
 
     header: str
     name: str
     width: int | None = None
+    real: bool = False
+
+    @property
+    def type(self) -> T.DataType:
+        return T.StringType() if self.width is not None else T.FloatType() if self.real else T.IntegerType()
 
 
 # Names, order and widths of the relations' columns.
@@ -47,4 +52,4 @@ RESULT_COLUMNS = [f.name for f in (*TITLE, *CAST_INFO)]
 
 
 def struct_type(fields: tuple[Field, ...]) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.IntegerType() if f.width is None else T.StringType()) for f in fields])
+    return T.StructType([T.StructField(f.name, f.type) for f in fields])

@@ -28,6 +28,14 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     df.write.option("header", True).option("quote", "").csv(path)
 
 
-def lines_between(lines: DataFrame, least: int, most: int, n: int) -> DataFrame:
-    """n of the lines with a length from `least` to `most`, in order of their text."""
-    return lines.where(F.length("value").between(least, most)).orderBy("value").limit(n)
+def write_lines(lines: DataFrame, path: str, header: str, one_file: bool = False) -> None:
+    """A column of lines as they are, each file with the header as its first line. Empty lines are left out."""
+    lines = lines.toDF(header)
+    lines = lines.coalesce(1) if one_file else lines
+    lines.write.option("header", True).option("quote", "").option("sep", "\u0001").option("emptyValue", "").csv(path)
+
+
+def lines_between(lines: DataFrame, least: int, most: int, n: int, *order: str) -> DataFrame:
+    """The first n of the lines with a length from `least` to `most`: by these columns (csv_source.POSITION: as in the file), else by their text."""
+    fit = lines.where(F.length("value").between(least, most))
+    return fit.orderBy(*(order or ["value"])).limit(n).select("value")

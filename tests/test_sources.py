@@ -116,6 +116,7 @@ def test_string_tables_match_row_by_row(spark):
 def test_one_note_is_a_prefix_of_one_title(spark, tmp_path):
     note, other = "n" * 100, "o" * 200
     (tmp_path / "c.csv").write_text(f"id,person_id,movie_id,person_role_id,last_title,nr_order,role_id\n1,1,1,1,{note},1,1\n")
+    # The header lines of the two relations.
     t = "id,title,imdb_index,kind_id,production_year,imdb_id,phonetic_code,episode_of_id,season_nr,episode_nr,series_years,md5sum\n"
     t += "".join(f"{i},{x},a,1,1,1,p,1,1,1,y,m\n" for i, x in ((1, other), (2, note + "m" * 100)))
     (tmp_path / "t.csv").write_text(t)
@@ -125,8 +126,56 @@ def test_one_note_is_a_prefix_of_one_title(spark, tmp_path):
 
 def test_sinks(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b,c", 3)], "i int, s string, n int")
-    assert rows(sinks.as_text(df)) == [("1,a",), ("2,b,c,3",)]
+    assert rows(sinks.as_text(df)) == [("1,a,",), ("2,b,c,3",)]  # a null is an empty field
     assert sinks.printable(df).count() == 2
     assert sinks.printable(df, most=2).count() == 0
     lines = spark.createDataFrame([("aaa",), ("b",), ("cc",), ("dddd",)], "value string")
     assert rows(sinks.lines_between(lines, 2, 3, 5)) == [("aaa",), ("cc",)]
+
+
+def test_lines_keep_the_order_of_the_file(spark, tmp_path):
+    want = [f"line {i * 7919 % 1000}" for i in range(3000)]
+    (tmp_path / "l.txt").write_text("\n".join(want) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = csv_source.raw_lines(spark, str(tmp_path / "l.txt"), position=True)
+        assert got.rdd.getNumPartitions() > 2
+        assert [r.value for r in sinks.lines_between(got, 8, 8, 900, *csv_source.POSITION).collect()] == [x for x in want if len(x) == 8][:900]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_lines_are_written_as_they_are(spark, tmp_path):
+    lines = ['a,"b",c', "x", "' y '"]
+    sinks.write_lines(spark.createDataFrame([(x,) for x in lines], "value string"), str(tmp_path / "o"), "h,h", one_file=True)
+    assert [r.value for r in csv_source.raw_lines(spark, str(tmp_path / "o")).collect()] == ["h,h", *lines]
+
+
+def test_real_columns(spark, tmp_path):
+    fields = (Field("id", "id"), Field("x", "x", real=True), Field("t", "t", 3))
+    made = datagen.filled(spark, 40, fields, 42, 1, 5)
+    assert [t for _, t in made.dtypes] == ["int", "float", "string"]
+    assert made.where("x < 1 or x > 5").count() == 0
+    assert made.select("x").distinct().count() > 30
+    sinks.write_csv(made, str(tmp_path / "o"))
+    assert rows(csv_source.load(spark, str(tmp_path / "o"), fields).rows) == rows(made)
+
+
+def test_rows_without_a_match_are_random(spark):
+    got = [r[0] for r in datagen.match_rate_cast_info(spark, 1000, 0.5).where("movie_id = 2001").select("cast_info_id").orderBy("cast_info_id").collect()]
+    gaps = {b - a for a, b in zip(got, got[1:], strict=False)}
+    assert len(gaps) > 4  # no regular stride
+    assert abs(sum(got) / len(got) - 500) < 60
+    other = {r[0] for r in datagen.match_rate_cast_info(spark, 1000, 0.5, seed=1).where("movie_id = 2001").select("cast_info_id").collect()}
+    assert 150 < len(other & set(got)) < 350
+
+
+@pytest.mark.parametrize(("n", "k"), [(1000, 1), (1000, 1000), (3000, 1234)])
+def test_smallest_hashes_are_found_in_steps(spark, n, k):
+    want = sorted((r.h, r.row) for r in spark.range(1, n + 1).select(datagen.lot(7, F.col("id")).alias("h"), F.col("id").alias("row")).collect())
+    assert datagen.smallest(spark, n, k, 7, cells=4, few=5) == want[k - 1]
+
+
+def test_ids_have_32_bits(spark):
+    with pytest.raises(ValueError, match="32 bits"):
+        datagen.title(spark, 1 << 31)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from millrace.functions.text import leading_int, run_length, truncate_bytes
 from millrace.operators import strings
+from millrace.plans.inspect import physical_nodes
 from pyspark.sql import functions as F
 
 
@@ -24,6 +25,13 @@ def test_prefixes(trie, mode, want):
     assert sorted(map(tuple, out.collect())) == want
 
 
+def test_notes_are_broadcast_only_if_small(trie):
+    """The same rows either way; local relations have unknown sizes and are shuffled."""
+    out = [strings.prefix_join(*trie, "t", "title", "note", "longest", most_broadcast=n) for n in (0, 1 << 70)]
+    assert rows(out[0].select("t", "n")) == rows(out[1].select("t", "n"))
+    assert "BroadcastHashJoin" in physical_nodes(out[1])
+
+
 def test_mode_is_checked(trie):
     with pytest.raises(ValueError, match="mode"):
         strings.prefix_join(*trie, "t", "title", "note", "middle")
