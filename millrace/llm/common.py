@@ -3,43 +3,27 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.plans.scratch import discard, fresh_dir, shared_dir, stored, unused
+
+
 #: ASCII white space only: other Unicode spaces belong to words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: numbered() gives a key one block per so many rows of the table, up to the limit.
 BLOCK_ROWS, MOST_BLOCKS = 1000, 4096
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is configured."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A group with over one in so many rows, and more than LEAST_HOT, is hot: there can't be more than MOST_HOT of them.
+MOST_HOT, LEAST_HOT = 1024, 64
+#: A list of keys is broadcast up to so many rows, counted before; it is shuffled beyond.
+MOST_KEYS = 1 << 17
 
 
 def give_back() -> None:
@@ -101,27 +85,77 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows:
     return out.select(*[c for c in df.columns if c != b], (F.col("__in") - 1 + F.col("__before")).alias(name))
 
 
+def text_key() -> list[Column]:
+    """128 bits of the text as h1 and h2 (null as empty): two hashes whose seeds differ. Rows with equal doc_id, h1 and h2 are repeats of one document."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows beside the one row of `groups` with their `keys`, by an inner or left join. `weight` says how many rows a group has, `total` is their sum at most.
+
+    Hot groups are broadcast, at most MOST_HOT or total / LEAST_HOT of them, so rows that meet them aren't shuffled; no other key holds more than a
+    small part of the rows.
+    """
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot = groups.where(F.col(weight) > limit).withColumn("__hot", F.lit(True))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    cool = out.where("__hot is null").select(*rows.columns).join(groups.where(F.col(weight) <= limit), keys, how)
+    order = [*rows.columns, *[c for c in groups.columns if c not in keys]]
+    return out.where("__hot").select(*order).unionAll(cool.select(*order))
+
+
+def kept_rows(docs: DataFrame, fates: DataFrame, name: str) -> DataFrame:
+    """The rows of `docs`, with all columns, that `fates` keeps: (doc_id, h1, h2, kept, n), a row for each document by doc_id and text_key().
+
+    Of n repeated rows of a document that is kept one stays. Documents that go, and kept ones with repeats, are lists of keys; each is broadcast if it has at most MOST_KEYS
+    rows, else rows and list are shuffled by the key. Names that clash with columns of `docs` are avoided.
+    """
+    names = [unused(f"__{c}", docs) for c in ("id", "h1", "h2")]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip([F.col("doc_id"), *text_key()], names, strict=True)])
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select("doc_id", "h1", "h2").toDF(*[f"{n}_of" for n in names])
+        keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+        cond = [rows[n].eqNullSafe(keys[f"{n}_of"]) for n in names]
+        return rows.join(keys, cond, how)
+
+    fates = stored(fates.where("not kept or n > 1"), name)
+    out = matched(keyed, fates, "left_anti")
+    again = fates.where("kept")
+    if not again.isEmpty():
+        out = out.unionAll(matched(keyed, again, "left_semi").dropDuplicates(names))
+    return out.select(*[f"`{c}`" for c in docs.columns])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a long, b long): one row (node, component) per linked node.
 
     Alternating large-star and small-star steps; every node ends at the smallest node that it reaches. Each
-    round's edges are a written table. Work is linear in the edges per round; only a change count returns to the driver.
+    round's edges are a written table, deleted after the next round. Work is linear in the edges per round; only counts return to the
+    driver. Edges of hubs aren't shuffled by the hub (joined).
     """
+
+    def starred(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        """Each edge (a, b) as (b, m), m what `least` has for a."""
+        return joined(edges, least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    before = None
+    before, total = None, e.count()
     for _ in range(rounds):
         # Large star: each node sends its larger neighbours to the smallest of its neighbourhood.
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = starred(both.where("b > a"), least, 2 * total)
         # Small star: each node sends its smaller neighbours, and itself, to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        e = stored(small.where("a <> b").distinct(), "cc")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = starred(large, low, total).unionAll(low.select("a", F.col("m").alias("b")))
+        last, e = e, stored(small.where("a <> b").distinct(), "cc")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(last)
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
                 e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before = now
+        before, total = now, now[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -108,10 +108,13 @@ def learn(docs: DataFrame, most_langs: int = 512) -> Model | None:
             yield pa.RecordBatch.from_arrays([names, pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "feature", "n"])
 
     table = map_arrow(docs, count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    table = table.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("cells"))
     counts = np.zeros((len(langs), FEATURES))
     place = {x: i for i, x in enumerate(langs)}
-    for r in table.collect():
-        counts[place[r.lang], r.feature] = r.n
+    # A row for each language, as Arrow arrays.
+    found = table.select("lang", "cells.feature", "cells.n").toArrow()
+    for lang, at, n in zip(found.column(0).to_pylist(), found.column(1), found.column(2), strict=True):
+        counts[place[lang], at.values.to_numpy()] = n.values.to_numpy()
     model = Model(langs, counts)
     shared = docs.sparkSession.sparkContext.broadcast((model, place))
 
@@ -169,12 +172,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify_languages(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
-    """Predicted language of each whole text: doc_id, held_out, lang_pred, score (0 to 1), ambiguous.
+    """Predicted language of each whole text, however long: doc_id, held_out, lang_pred, score (0 to 1), ambiguous.
 
     Documents whose crc32(doc_id as text) mod `folds` is `fold` are held out; the rest with a lang teach. Null doc_ids neither teach nor are
     held out. Binary trigram classifiers predict the bits of language codewords; decoding weighs each bit's loss by its accuracy,
-    takes the nearest codeword and flags texts where a second is near. Rows and repeats stay as they are; with nothing to learn from,
-    all are `und`. Only the text is seen in a prediction.
+    takes the nearest codeword and flags texts where a second is near. Only the text is seen in a prediction.
+
+    Null and empty texts and those without a letter are `und` with score 0 and teach nothing. Rows and repeats stay as they are, and repeats teach as often as they occur. Of
+    equally near codewords the language that comes first by code points is taken. With nothing to learn from all are `und`; an empty table gives no rows. Other columns aren't looked at, whatever
+    their names.
     """
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     model = learn(docs.where(part != fold))

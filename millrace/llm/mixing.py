@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored, word_count
+from millrace.llm.common import stored, unused, word_count
 
 #: The hash has 60 bits, read LEVEL_BITS at a time.
 HASH_BITS, LEVEL_BITS = 60, 10
@@ -67,7 +67,8 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 
 def mix_hash() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 64 - HASH_BITS)
+    """Of doc_id and text, so that rows without a doc_id don't share one."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("mix")), 64 - HASH_BITS)
 
 
 def mix_sources(
@@ -78,9 +79,11 @@ def mix_sources(
     Sizes are words (null text: 0). Each source takes all its documents floor(target / size) times, and once more those
     whose hash lies below a threshold. A histogram of sizes by (source, hash bucket) finds the bucket in which the
     source's remaining budget ends; only that bucket is split by its next bits, until one hash value holds the boundary,
-    which is taken if that comes nearer. The thresholds are nested: a larger budget takes a superset. Equal doc_ids
-    share a hash and are decided together; null doc_ids and null sources are values like any other. An empty table gives
-    no rows. Only one row per source returns to the driver, `most_sources` at most (more raise ValueError).
+    which is taken if that comes nearer. The thresholds are nested: a larger budget takes a superset.
+
+    Rows with equal doc_id and text share a hash and are decided together, so a source comes within half of them of its target. Null doc_ids, null sources (a
+    source of their own, last), null and empty texts (size 0) are values like any other, and texts of any length count whole. Other columns aren't looked at, whatever their
+    names. An empty table gives no rows. Only one row per source returns to the driver, `most_sources` at most (more raise ValueError).
     """
     rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_hash().alias("h")), "mix")
     plan = plan_mix(rows, weights, share, cap, most_sources)
@@ -94,10 +97,14 @@ def mix_sources(
 def take_mix(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, most_sources: int = 100_000
 ) -> DataFrame:
-    """The mix that mix_sources() describes: the rows of `docs`, each as often as it is taken. Texts aren't shuffled."""
+    """The mix that mix_sources() describes: the rows of `docs` with all columns, each as often as it is taken. Texts aren't shuffled.
+
+    Nulls, repeated rows and empty tables are treated as there; names that clash with columns of `docs` are avoided.
+    """
     rows = stored(docs.select("source", word_count(F.col("text")).alias("size"), mix_hash().alias("h")), "mix")
     plan = plan_mix(rows, weights, share, cap, most_sources)
-    plan = plan.select(F.col("source").alias("__source"), F.col("base").alias("__base"), F.col("threshold").alias("__threshold"))
-    out = docs.join(F.broadcast(plan), docs.source.eqNullSafe(plan["__source"]))
-    repeats = F.col("__base") + (mix_hash() < F.col("__threshold")).cast("int")
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), repeats))).select(*[docs[c] for c in docs.columns])
+    source, base, threshold, copy = (unused(f"__{c}", docs) for c in ("source", "base", "threshold", "copy"))
+    plan = plan.select(F.col("source").alias(source), F.col("base").alias(base), F.col("threshold").alias(threshold))
+    out = docs.join(F.broadcast(plan), docs.source.eqNullSafe(plan[source]))
+    repeats = F.col(base) + (mix_hash() < F.col(threshold)).cast("int")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), repeats))).select(*[docs[f"`{c}`"] for c in docs.columns])

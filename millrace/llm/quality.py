@@ -9,7 +9,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, stored
@@ -52,7 +52,7 @@ class Looked:
         text = (shape == 97) | (shape == 65) | (shape == 48)
         first = np.flatnonzero(bare & np.append(True, ~bare[:-1])[: len(bare)])
         self.separators = int((np.add.reduceat(text, first) == 0).sum()) if len(first) else 0
-        self.shapes = Counter((shape[np.append(~same, True)].tobytes() if len(shape) else b"").split())
+        self.shape, self.same = shape, same
 
     def votes(self) -> list[int]:
         n = max(self.n, 1)
@@ -78,7 +78,8 @@ class Looked:
         """Hashed words, shapes of words (runs of a class as one) and rates, each group of length 1 at most."""
         n = max(self.n, 1)
         out: dict[int, float] = {FEATURES - 1: 1.0}
-        for lead, counts in ((b"w", self.counts), (b"s", self.shapes)):
+        shapes = Counter((self.shape[np.append(~self.same, True)].tobytes() if len(self.shape) else b"").split())
+        for lead, counts in ((b"w", self.counts), (b"s", shapes)):
             if counts:
                 v = np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
                 v /= np.sqrt((v * v).sum())
@@ -144,10 +145,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 300, rate
     return w
 
 
-def lot(doc_id: Column) -> Column:
-    return F.xxhash64(doc_id, F.lit("quality"))
-
-
 class Classifier:
     """Posteriors by vote pattern and the scorer's weights."""
 
@@ -162,26 +159,27 @@ class Classifier:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Votes on all documents, accuracies from the counts of all vote patterns, and a scorer fitted to the posteriors.
 
-    The scorer sees the `sample` documents of each class (posterior below and above a half) with the smallest hashes of doc_id, of
-    those that a labeller votes on: texts that are too short for any teach it nothing. An empty class leaves it to the constant.
+    The scorer sees the `sample` documents of each class (posterior below and above a half) with the smallest hashes of doc_id, then of the text, of
+    those that a labeller votes on: texts that are too short for any teach it nothing. Repeated rows are seen once. An empty class leaves it to the constant.
     """
     spark = docs.sparkSession
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pats = [pattern_of(Looked(t.as_py()).votes()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pats, pa.int64())], ["lot", "pattern"])
+            pats = [pattern_of(Looked(t.as_py()).votes()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pats, pa.int64())], ["lot", "own", "pattern"])
 
-    texts = docs.select(lot(F.col("doc_id")).alias("lot"), "text")
-    votes = stored(map_arrow(texts, vote, "lot long, pattern long"), "votes")
+    texts = docs.select(F.xxhash64("doc_id", F.lit("quality")).alias("lot"), F.xxhash64("text").alias("own"), "text")
+    votes = stored(map_arrow(texts, vote, "lot long, own long, pattern long"), "votes")
     counts = {r.pattern: r.n for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior, share = accuracies(counts)
     ends = {}
     for good in (False, True):
         pats = [p for p, q in posterior.items() if (q > 0.5) == good and p != SILENT]
-        own = votes.where(F.col("pattern").isin(pats)).orderBy("lot").limit(sample) if pats else None
-        ends[good] = own.agg(F.max("lot")).first()[0] if own else None
-    top = max((e for e in ends.values() if e is not None), default=None)
+        own = votes.where(F.col("pattern").isin(pats)).select("lot", "own").distinct().orderBy("lot", "own").limit(sample) if pats else None
+        end = own.agg(F.max(F.struct("lot", "own"))).first()[0] if own else None
+        ends[good] = tuple(end) if end else None
+    top = max((e[0] for e in ends.values() if e), default=None)
     rows = []
     if top is not None:
         shared = spark.sparkContext.broadcast((posterior, ends))
@@ -190,20 +188,21 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
             posterior, ends = shared.value
             for batch in batches:
                 out = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for lot, own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     x = Looked(t.as_py())
                     p = pattern_of(x.votes())
                     q = posterior[p]
                     end = ends[q > 0.5]
-                    if p != SILENT and end is not None and i <= end:
+                    if p != SILENT and end is not None and (lot, own) <= end:
                         k, v = x.features()
-                        out.append({"lot": i, "at": k.tolist(), "x": v.tolist(), "y": q})
+                        out.append({"lot": lot, "own": own, "at": k.tolist(), "x": v.tolist(), "y": q})
                 if out:
-                    schema = pa.schema([("lot", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.float64())])
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    kinds = [("lot", pa.int64()), ("own", pa.int64()), ("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.float64())]
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
 
-        found = map_arrow(texts.where(F.col("lot") <= top), features, "lot long, at array<long>, x array<double>, y double")
-        found = sorted(found.limit(4 * sample).collect(), key=lambda r: (r.lot, r.y, r["at"]))
+        found = map_arrow(texts.where(F.col("lot") <= top), features, "lot long, own long, at array<long>, x array<double>, y double")
+        # At most `sample` of each class, as repeats are left out.
+        found = sorted(found.dropDuplicates(["lot", "own"]).collect(), key=lambda r: (r.lot, r.own))
         rows = [(np.array(r["at"], dtype=np.int64), np.array(r.x), r.y) for r in found]
     return Classifier(posterior, share, fit(rows))
 
@@ -214,7 +213,8 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
     Labellers vote bad, good or not at all on symbols, runs of marks, capitals, bars, repeated words, variety, sentence ends and
     lengths of words. Expectation-maximisation over the counts of all vote patterns finds how far each is right, without labels; the
     posteriors teach a linear scorer of hashed words and word shapes, which decides. Texts of fewer than LEAST_WORDS words, null and
-    empty ones included, get no votes: their posterior is the prior, the scorer isn't taught on them, and they are scored like others. Rows and repeats stay as they are; an empty table gives no rows.
+    empty ones included, get no votes: their posterior is the prior, the scorer isn't taught on them, and they are scored like others. Long texts are seen whole. Null doc_ids, rows and repeats stay
+    as they are, equal texts score the same, other columns aren't looked at, whatever their names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
 
@@ -239,7 +239,7 @@ def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = S
 
 
 def keep_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that score_quality() keeps, with all columns; nothing is shuffled."""
+    """The rows of `docs` that score_quality() keeps, with all columns, whatever their names; nothing is shuffled. Nulls, long texts, repeats and empty tables are treated as there."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
     at = docs.columns.index("text")
 

@@ -1,4 +1,4 @@
-"""SimHash components by the generalised pigeonhole principle, and near-duplicates by prefixes of sets of shingles."""
+"""SimHash components by the generalised pigeonhole principle, and near-duplicates by them and by prefixes of sets of shingles."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, map_arrow, stored
+from millrace.llm.common import LEAST_HOT, MOST_HOT, MOST_KEYS, components, discard, joined, kept_rows, map_arrow, stored, text_key
 
 BITS, SEED = 64, 42
 #: Buckets with more members than this are linked through midpoints, not by pairs (radius 2 and less). About where
@@ -24,13 +24,11 @@ MOST_PARTS = 8
 MOST_VARIANTS = 800
 #: Cost of probing a signature (made, shuffled, sorted) in comparisons of two fingerprints.
 PROBE_COST = 50
-#: Sets of at most so many shingles are small; only tests that leave larger ones to fingerprints tell them apart.
-SMALL = 40
 #: Shingles that heads put last, and shingles that are counted at a time to find them.
 COMMON, COUNTED = 1 << 17, 1 << 20
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
-#: Bits of a sketch, and words of 64 that it takes.
+#: Parities of a set, and words of 64 that they take.
 SKETCH, WORDS = 256, 4
 #: Bounds computed from a similarity in floating point are looser by this, so that pairs right at it stay.
 SLACK = 1e-6
@@ -79,23 +77,10 @@ def head(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None
     return hashes[: n - math.ceil(similarity * n - SLACK) + 1].view(np.int64).tolist()
 
 
-def sketches(hashes: np.ndarray) -> np.ndarray:
-    """Of a set of hashes in order, two sketches of SKETCH bits as 64-bit words.
-
-    Parities: whether each of SKETCH ranges holds an odd number of hashes. Two sets differ in at least as many elements as
-    in parities. Samples: a bit of the least hash in each range, of the next one where a range is empty. The more two
-    sets share, the more of those agree.
-    """
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes whether each of SKETCH ranges holds an odd number, as 64-bit words. Two sets differ in at least as many elements as in parities."""
     odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=SKETCH) & 1
-    ranges = np.arange(SKETCH, dtype=np.uint64) << np.uint64(56)
-    least = hashes[np.searchsorted(hashes, ranges) % len(hashes)] & np.uint64(1) if len(hashes) else np.zeros(SKETCH)
-    return np.packbits(np.concatenate([odd, least]).astype(np.uint8), bitorder="little").view("<i8")
-
-
-def most_apart(similarity: float) -> int:
-    """Bits in which the samples of sets of that similarity differ at most, but for one pair in a thousand."""
-    p = (1 - similarity) / 2
-    return int(SKETCH * p + 3.2 * math.sqrt(SKETCH * p * (1 - p)))
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -113,10 +98,28 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long, n long")
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most COMMON shingles that come in most documents: their hashes in order, and their ranks from rarer to commoner.
+@dataclass(frozen=True)
+class Common:
+    """Shingles that come in most documents: hashes in order, ranks from rarer to commoner, and from which rank on they are hot."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+    hot: int
+
+    def heads(self, hashes: np.ndarray, similarity: float) -> tuple[list[int], int]:
+        """head() of a set, and how many in it aren't hot; those come first."""
+        out = head(hashes, similarity, self.hashes, self.ranks)
+        if not len(self.hashes) or not out:
+            return out, len(out)
+        keys = np.array(out, dtype=np.int64).view(np.uint64)
+        at = np.searchsorted(self.hashes, keys) % len(self.hashes)
+        return out, int(((self.hashes[at] != keys) | (self.ranks[at] < self.hot)).sum())
+
+
+def common_shingles(docs: DataFrame, shingle: int, limit: int) -> Common:
+    """At most COMMON shingles that come in most documents; those in over `limit` documents are hot.
 
-    Of every run of about COUNTED shingles those of two documents and more are counted. They set only the order of heads, so what
+    Of every run of about COUNTED shingles those of two documents and more are counted. They set only the order of heads and which buckets are broadcast, so what
     isn't among them costs time and no pair.
     """
 
@@ -137,32 +140,37 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
             yield counted(sets)
 
     found = map_arrow(docs.select("text"), run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
-    found = found.orderBy(F.desc("k"), "h").limit(COMMON).collect()
-    h = np.array([r.h for r in found], dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.arange(len(h), 0, -1)[order]
+    found = found.orderBy(F.desc("k"), "h").limit(COMMON).toArrow()
+    h, k = (found.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(h.view(np.uint64))
+    return Common(h.view(np.uint64)[order], np.arange(len(h), 0, -1)[order], len(h) - int((k > limit).sum()) + 1)
 
 
-def shingle_heads(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of each whole text: doc_id, n (different shingles), parities (of its sketch), head."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+def text_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """What stands for each whole text: doc_id, h1, h2 (text_key), fp (of the set of shingles), n (different shingles), parities, head, cool (entries of it that aren't hot)."""
+    limit = max(LEAST_HOT, docs.count() // MOST_HOT)
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, limit))
+    names = ["doc_id", "h1", "h2", "fp", "n", "parities", "head", "cool"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes, marks, heads = [], [], []
-                for text in part.column(1):
+                fps, sizes, marks, heads, cool = [], [], [], [], []
+                for text in part.column(3):
                     h = np.unique(shingle_hashes(text.as_py(), shingle))
+                    own, few = shared.value.heads(h, similarity)
+                    fps.append(fingerprint(h))
                     sizes.append(len(h))
-                    marks.append(sketches(h)[:WORDS].tolist())
-                    heads.append(head(h, similarity, common, rank))
-                columns = [pa.array(sizes, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (marks, heads)]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "parities", "head"])
+                    marks.append(parities(h).tolist())
+                    heads.append(own)
+                    cool.append(few)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (marks, heads)]
+                columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), *lists, pa.array(cool, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return map_arrow(rows, run, "doc_id long, n long, parities array<long>, head array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), *text_key(), "text")
+    return map_arrow(rows, run, "doc_id long, h1 long, h2 long, fp long, n long, parities array<long>, head array<long>, cool long")
 
 
 # --- parts and thresholds
@@ -286,54 +294,64 @@ def distance(a: Column | str, b: Column | str) -> Column:
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) between different fingerprints with the components of all pairs within `radius` bits.
 
-    Up to a radius of 2 no bucket makes more than MOST_PAIRED pairs a member: in larger ones every member sends itself to
-    itself and its one-bit neighbours outside the part, and links to the least that arrives there. Two members within two bits meet
-    there, and all that meet are within two bits, so the components are the same and work is linear in the bucket. Beyond that radius all pairs of a bucket are compared.
+    Up to a radius of 2 no bucket, whatever its part's threshold, makes more than MOST_PAIRED pairs a member: all that index or probe a larger one send themselves to
+    themselves and their one-bit neighbours, and link to the least that arrives there. Two members within two bits meet
+    there, and all that meet are within two bits, so the components are the same and work is linear in the bucket; at most BITS + 1 meet at a place. Beyond that radius all pairs of a bucket are compared.
     """
     n, both = bit_counts(fps)
     parts = plan_parts(n, both, radius)
     index = signatures(fps.select("fp"), parts, probe=False)
-    probes = signatures(fps.select("fp"), parts, probe=True)
-    near = distance("a", "b") <= radius
-    if radius > 2 or any(p.threshold for p in parts):
-        a, b = probes.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
-        return a.join(b, ["part", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
-    size = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > MOST_PAIRED)
-    hot = stored(size.select("part", "key"), "hot")
-    cool = index.join(hot, ["part", "key"], "left_anti")
-    pairs = cool.withColumnRenamed("fp", "a").join(cool.withColumnRenamed("fp", "b"), ["part", "key"])
-    pairs = pairs.where((F.col("a") < F.col("b")) & near).select("a", "b")
-    flips = F.element_at(F.array(*[F.array(*[F.lit(signed(1 << x)) for x in range(BITS) if x not in p.bits], F.lit(0)) for p in parts]), F.col("part") + 1)
-    at = index.join(hot, ["part", "key"], "left_semi").select("fp", "part", F.explode(flips).alias("flip"))
-    at = at.select("fp", "part", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    least = at.groupBy("part", "mid").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
-    star = at.join(least, ["part", "mid"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    return pairs.unionAll(star)
+    plain = not any(p.threshold for p in parts)
+    probes = index if plain else signatures(fps.select("fp"), parts, probe=True)
+    near, key = distance("a", "b") <= radius, ["part", "key"]
+
+    def pairs(probes: DataFrame, index: DataFrame) -> DataFrame:
+        met = probes.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), key)
+        return met.where((F.col("a") < F.col("b")) & near).select("a", "b")
+
+    if radius > 2:
+        return pairs(probes, index)
+    # A bucket counts if something is indexed there; what probes it may lie elsewhere itself.
+    asked = index.select(*key, F.lit(1).alias("own"))
+    asked = asked if plain else asked.unionAll(probes.select(*key, F.lit(0).alias("own")))
+    sizes = asked.groupBy(*key).agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("all"))
+    hot = stored(sizes.where((F.col("own") > 0) & (F.greatest(F.col("own"), F.col("all") - F.col("own")) > MOST_PAIRED)).select(*key), "hot")
+    cool = pairs(probes.join(hot, key, "left_anti"), index)
+    if hot.isEmpty():
+        return cool
+    met = probes.join(hot, key, "left_semi").select("fp")
+    met = (met if plain else met.unionAll(index.join(hot, key, "left_semi").select("fp"))).distinct()
+    flips = F.array(*[F.lit(signed(1 << x)) for x in range(BITS)], F.lit(0))
+    at = met.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+    least = at.groupBy("mid").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    star = at.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return cool.unionAll(star)
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """Each document's fingerprint and component: doc_id, fp (signed), component_id.
 
     Fingerprints link at `radius` or fewer differing bits, equal ones included, and a component is all that links reach;
-    its id is its smallest doc_id (null if all are). Links are sought between different fingerprints only, so copies cost nothing. Null and
-    empty texts have fingerprint zero, which links like any other. Repeated rows stay. An empty table gives no rows.
+    its id is its smallest doc_id (null if all are). Links are sought between different fingerprints only, so copies cost nothing, and rows of a hot fingerprint aren't shuffled by it. Null and
+    empty texts have fingerprint zero, which links like any other; very long texts are hashed whole. Repeated rows stay. Other columns aren't looked at, whatever their names. An empty table gives no rows.
     """
     rows = stored(fingerprints(docs, shingle).select("doc_id", "fp"), "fps")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
     comps = components(fingerprint_links(fps, radius))
-    named = fps.join(comps, fps.fp == comps.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = stored(named.join(least, "component").select("fp", "component_id"), "names")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    named = fps.join(comps, fps.fp == comps.node, "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
+    named = stored(named, "named")
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    names = joined(named, least, ["component"], "fps", fps.count()).select("fp", "n", "component_id")
+    return joined(rows, stored(names, "names"), ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 # --- near-duplicate documents, verified
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those whose sets of shingles have at least this Jaccard similarity. Only texts that occur in pairs move twice."""
-    pairs = stored(pairs.distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets of shingles have at least this Jaccard similarity, as a stored table. Only texts in pairs are hashed again."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = stored(nodes.select("id", "h1", "h2").join(ids, "id", "left_semi"), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,25 +369,29 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                 ok.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    own = map_arrow(docs.join(ids, docs.doc_id == ids.id, "left_semi").select(F.col("doc_id").cast("long"), "text"), sets, "id long, set binary")
-    own = stored(own.dropDuplicates(["id"]), "sets")
+    few = F.broadcast(ids) if ids.count() <= MOST_KEYS else ids
+    own = docs.select(*text_key(), "text").join(few, ["h1", "h2"]).select("id", "text")
+    own = stored(map_arrow(own, sets, "id long, set binary").dropDuplicates(["id"]), "sets")
     left = own.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = own.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return stored(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), keep, "a long, b long"), "links")
+    links = stored(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), keep, "a long, b long"), "links")
+    discard(own)
+    return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of near-duplicates: doc_id, keep_id (the smallest doc_id of the group), kept.
+def fingerprint_pairs(nodes: DataFrame, radius: int, total: int) -> DataFrame:
+    """Pairs of nodes (a, b) that join all whose fingerprints lie within `radius` bits: members of a fingerprint with its first, and firsts of fingerprints that link."""
+    fps = stored(nodes.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")), "fps")
+    same = joined(nodes.select("id", "fp"), fps.where("m > 1"), ["fp"], "m", total).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    links = fingerprint_links(fps, radius)
+    for x in ("a", "b"):
+        links = links.join(fps.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_")), x)
+    return same.unionAll(links.select(F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")))
 
-    Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts, and all such pairs are
-    found, of any size: the sets share one of their first shingles in an order that puts common ones last (head), and neither their sizes,
-    the place of the first shared shingle nor the parities of their sketches, which bound what sets can share, rule the pair out.
-    First each document is compared with one other of each bucket; then pairs of a bucket that this hasn't joined are,
-    so a large group of near copies costs little more than its size. Documents without words
-    aren't linked. doc_ids are to be unique; null ones are kept unlinked. An empty table gives no rows.
-    """
-    rows = stored(shingle_heads(docs, shingle, similarity), "heads")
-    nodes = rows.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "n", "parities", "head")
+
+def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) between rows of text_sets(), numbered by id and of different texts, with the components of all pairs of at least the similarity."""
+    nodes = rows.where("n > 0")
 
     def may(x: str, y: str) -> Column:
         """Whether sets can be similar by their sizes, and if nothing before their places `at` is shared."""
@@ -381,40 +403,92 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that parities don't rule out, verified."""
-        pairs = stored(pairs.distinct(), "candidates")
+        """Those of the pairs that sizes and parities don't rule out, verified."""
+        pairs = pairs.distinct()
         for x in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("parities").alias(f"p{x}")), x)
         apart = sum((distance(F.get("pa", i), F.get("pb", i)) for i in range(1, WORDS)), distance(F.get("pa", 0), F.get("pb", 0)))
         # Of sets this similar, the difference holds at most this share of both sizes.
         most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + SLACK
-        return verified(pairs.where(apart <= most).select("a", "b"), docs, shingle, similarity)
+        sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - SLACK
+        return verified(stored(pairs.where(sizes & (apart <= most)).select("a", "b"), "candidates"), nodes, docs, shingle, similarity)
 
     entry = F.struct("id", "n", "at")
-    entries = nodes.select("id", "n", F.posexplode("head").alias("at", "key"))
+    entries = nodes.select("id", "n", "cool", F.posexplode("head").alias("at", "key"))
     # A bucket's leader is the first by one of LEADERS orders of documents.
-    bucket = Window.partitionBy("key").orderBy(F.xxhash64("id", F.pmod("key", F.lit(LEADERS))), "id")
-    entries = entries.withColumn("lead", F.first(entry).over(bucket)).withColumn("last", F.last(entry).over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = stored(entries.where("lead.id <> last.id").select("key", "id", "n", "at", "lead"), "met")
+    order = F.xxhash64("id", F.pmod("key", F.lit(LEADERS)))
+    bucket = Window.partitionBy("key").orderBy(order, "id")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = entries.where("at < cool").withColumn("lead", F.first(entry).over(bucket)).withColumn("last", F.last("id").over(whole))
+    met = met.where(F.col("lead.id") != F.col("last")).select("key", "id", "n", "at", "lead")
+    # Hot buckets, COMMON at most, are aggregated on the map side, and their leaders are broadcast.
+    hot = entries.where("at >= cool")
+    leads = hot.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "at")).alias("l"), F.max("id").alias("high"), F.min("id").alias("low"))
+    leads = leads.where("low < high").select("key", F.struct("l.id", "l.n", "l.at").alias("lead"))
+    met = stored(met.withColumn("hot", F.lit(False)).unionAll(hot.join(F.broadcast(leads), "key").select("key", "id", "n", "at", "lead", F.lit(True).alias("hot"))), "met")
     star = met.select(F.struct("id", "n", "at").alias("p"), F.col("lead").alias("q")).where(F.col("p.id") != F.col("q.id"))
-    first = linked(star.where(may("p", "q")).select(*pair("p", "q")))
+    star = star.where(may("p", "q")).select(*pair("p", "q"))
+    first = linked(fingerprint_pairs(nodes, radius, rows.count()).unionAll(star))
     comps = stored(components(first), "joined")
-    met = met.drop("lead").join(comps, met.id == comps.node, "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("g"))
+    met = met.drop("lead").join(comps, met.id == comps.node, "left").select("key", "hot", "id", "n", "at", F.coalesce("component", "id").alias("g"))
     # Groups that meet in a bucket, and then their members: those of a bucket with one group aren't touched again.
-    several = met.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    met = stored(met.join(several, "key", "left_semi"), "several")
+    several = met.groupBy("key", "hot").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key", "hot")
+    cold = met.where("not hot").join(several.where("not hot").select("key"), "key", "left_semi")
+    met = stored(cold.unionAll(met.where("hot").join(F.broadcast(several.where("hot").select("key")), "key", "left_semi").select(*cold.columns)), "several")
     groups = met.select("key", "g").distinct()
     two = groups.withColumnRenamed("g", "g1").join(groups.withColumnRenamed("g", "g2"), "key").where("g1 < g2")
     p = met.select("key", F.col("g").alias("g1"), F.struct("id", "n", "at").alias("p"))
     q = met.select("key", F.col("g").alias("g2"), F.struct("id", "n", "at").alias("q"))
     more = two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(may("p", "q"))
     more = linked(more.select(*pair("p", "q")))
-    out = rows.select("doc_id").join(stored(components(first.unionAll(more)), "comps"), F.col("doc_id") == F.col("node"), "left")
-    keep = F.coalesce("component", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return first.unionAll(more)
+
+
+def grouped_texts(docs: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """Rows (id, doc_id, h1, h2, first): ids number the rows, and first is what stays of a row's group, as (no, doc_id, h1, h2, id); null where a row is alone."""
+    rows = stored(text_sets(docs, shingle, similarity).withColumn("id", F.monotonically_increasing_id()), "sets")
+    total, key = rows.count(), ["h1", "h2"]
+    same = rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    twice = stored(same.where("m > 1"), "twice")
+    members = rows.select("id", "doc_id", *key)
+    if twice.isEmpty():
+        texts, members = rows, members.withColumn("rep", F.col("id"))
+    else:  # equal texts are one node, however many rows they have
+        members = joined(members, twice, key, "m", total, "left").select("id", "doc_id", *key, F.coalesce("rep", "id").alias("rep"))
+        members = stored(members, "members")
+        texts = stored(rows.join(members.where("id <> rep").select("id"), "id", "left_anti"), "texts")
+    comps = components(linked_texts(texts, docs, shingle, similarity, radius))
+    members = stored(members.join(comps, members.rep == comps.node, "left").select("id", "doc_id", *key, F.coalesce("component", "rep").alias("g")), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", *key, "id"))
+    groups = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), first.alias("first")).where("m > 1")
+    return joined(members, stored(groups, "firsts"), ["g"], "m", total, "left").select("id", "doc_id", *key, "first")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """Groups of near-duplicates: doc_id, keep_id (the smallest doc_id of the group), kept (of each group exactly one row).
+
+    Documents link if their sets of word shingles have this Jaccard similarity, checked on whole texts, and all such pairs are
+    joined, of any size. Fingerprints of the sets within `radius` bits are found by the generalised pigeonhole principle. Most pairs right at the similarity lie further
+    apart than any radius that could be probed, so sets also meet on shared shingles: similar ones share one of their first in an order that puts common ones last (head), and
+    neither their sizes, the place of the first shared shingle nor their parities, which bound what sets can share, rule the pair out. First each document is compared
+    with one other of each bucket; then pairs of a bucket that nothing has joined yet are, so a large group of near copies costs little more than its size.
+
+    Rows are told apart by a number of their own: rows of one doc_id link by their texts as others do. Of a group the smallest doc_id stays (null ones last; of equal ones
+    that with the smallest hash of the text, of repeated rows one). Equal texts are one node, repeats cost nothing. Texts without words, null ones included, are like only their equals.
+    Other columns aren't looked at, whatever their names. An empty table gives no rows.
+    """
+    out = grouped_texts(docs, shingle, similarity, radius)
+    keep = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce(F.col("id") == F.col("first.id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that near_duplicates() keeps, with all columns."""
-    gone = near_duplicates(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(stored(gone, "gone"), docs.doc_id == F.col("__id"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """The rows of `docs` that near_duplicates() keeps, with all columns, whatever their names.
+
+    Rows are told apart by doc_id and 128 bits of the text; of repeated rows of one that stays one does, whichever its other columns are. Nulls, long texts and empty tables
+    are treated as there.
+    """
+    rows = grouped_texts(docs, shingle, similarity, radius)
+    own = F.coalesce(F.col("id") == F.col("first.id"), F.lit(True))
+    fates = rows.groupBy("doc_id", "h1", "h2").agg(F.max(own).alias("kept"), F.count(F.lit(1)).alias("n"))
+    return kept_rows(docs, fates, "gone")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import files
-from millrace.llm.common import fresh_dir, map_arrow, stored
+from millrace.llm.common import MOST_KEYS, fresh_dir, joined, map_arrow, stored
 
 #: Bytes of a payload in one row of the record table, and in one step of reading.
 CHUNK = 1 << 16
@@ -28,22 +28,36 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
+def revisits(pages: DataFrame, least: int) -> DataFrame:
+    """Of pages (page_id, key, size) those that revisit another: page_id, key, response, a row for each. Payloads stay where they are.
+
+    Common payloads are hot keys: they are counted on the map side, and their pages meet the count without a shuffle.
+    """
+    large = stored(pages.where(F.col("size") >= least).select("page_id", "key"), "large")
+    groups = large.groupBy("key").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null")
+    met = joined(large, stored(groups, "payloads"), ["key"], "n", large.count())
+    return met.where("page_id is null or page_id <> response").select("page_id", "key", "response").distinct()
+
+
 def record_table(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Pages as rows of (page_id, url, payload_bytes, payload_digest, record_type, refers_to, chunk_no, chunks, chunk).
+    """Pages as rows of (page_id, url, payload_bytes, payload_digest, record_type, refers_to, chunks, chunk_no, chunk).
 
     The payload is the html in UTF-8 (null: empty) and is cut into chunks, so no later step holds a whole one. Of
     payloads with at least `least` bytes that are equal (by SHA-256) the record with the largest page_id is the response
-    and others revisit it, without a payload of their own; they have one empty chunk. Repeated rows of that page_id are responses
-    each, null page_ids revisit but are never referred to. Digests are SHA-1, in hexadecimal.
+    and others revisit it, without a payload of their own; they have one empty chunk, as have empty payloads. Which ones revisit is found by ids and hashes alone. That list is broadcast if it
+    has at most MOST_KEYS rows, so that payloads aren't moved; beyond that pages are shuffled once, by page_id and hash, so that copies of a payload don't meet in one task.
+
+    Repeated rows of the largest page_id are responses each, null page_ids revisit but are never referred to; null urls are written as a fixed one. Digests are SHA-1, in
+    hexadecimal. Other columns aren't looked at, whatever their names. An empty table gives no rows.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", body.alias("body"))
     size, key = F.octet_length("body").cast("long"), F.sha2("body", 256)
-    large = pages.where(size >= least).select(key.alias("key"), "page_id")
-    groups = large.groupBy("key").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = stored(groups.where("response is not null").select("key", "response"), "payloads")
-    rows = pages.withColumn("key", key).join(groups, "key", "left")
-    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
+    again = stored(revisits(pages.select("page_id", key.alias("key"), size.alias("size")), least), "revisits")
+    few = F.broadcast(again) if again.count() <= MOST_KEYS else again
+    keyed = pages.withColumn("key", F.when(size >= least, key))
+    rows = keyed.join(few, keyed.page_id.eqNullSafe(few.page_id) & (keyed.key == few.key), "left").select(keyed.page_id, "url", "body", "response")
+    revisit = F.col("response").isNotNull()
     held = F.when(revisit, F.lit(b"")).otherwise(F.col("body"))
     count = F.greatest(F.lit(1), F.ceil(F.octet_length(held) / CHUNK)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(held, i * CHUNK + 1, F.lit(CHUNK)))
@@ -53,7 +67,7 @@ def record_table(pages: DataFrame, least: int = 1000) -> DataFrame:
         size.alias("payload_bytes"),
         F.sha1("body").alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("response")).alias("refers_to"),
+        F.col("response").alias("refers_to"),
         count.alias("chunks"),
         cut.alias("cut"),
     )
@@ -91,19 +105,23 @@ def head_of(row: dict) -> bytes:
 def write_archives(records: DataFrame, out_dir: str | None = None, most: int = ARCHIVE) -> DataFrame:
     """Write a record table into gzipped archives, a member for each record: the manifest (path, records).
 
-    A record's chunks are consecutive rows. They are compressed as they come and carry a running SHA-1, which has to
-    agree with the header in the end. Archives get names of their own and only those of tasks that succeeded are in the manifest.
+    A record's chunks are consecutive rows, as record_table() gives them; where one is missing or out of place a ValueError names its page. They are compressed as they come and carry a running SHA-1,
+    which has to agree with the header in the end. Archives get names of their own and only those of tasks that succeeded are in the manifest. Null page_ids get
+    names of their own, repeated rows are records each, and no records give no archives.
     """
     out_dir = out_dir or fresh_dir(records.sparkSession, "warc")
     files.make_dir(out_dir)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "chunks", "chunk_no", "chunk"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, path, n, at, press, digest = None, "", 0, 0, None, None
+        out, path, n, at, press, digest, page, due = None, "", 0, 0, None, None, None, 0
         for batch in batches:
             heads = batch.select(names[:-1]).to_pylist()
             for row, chunk in zip(heads, batch.column(8), strict=True):
                 chunk = chunk.as_py()
+                if row["chunk_no"] != due or (due and row["page_id"] != page):
+                    raise ValueError(f"page {row['page_id']}: chunk {row['chunk_no']} comes where chunk {due} of page {page if due else 'any'} should")
+                page, due = row["page_id"], (due + 1) % row["chunks"]
                 if out is None:
                     path, n, at = f"{out_dir}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.write_to(path)
@@ -123,6 +141,8 @@ def write_archives(records: DataFrame, out_dir: str | None = None, most: int = A
                     out.close()
                     out = None
                     yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
+        if due:
+            raise ValueError(f"page {page}: it ends before chunk {due}")
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
@@ -164,7 +184,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """The archives of a manifest as a record table, without urls; each row has the SHA-1 of the record's payload as far as it goes.
 
     The last row of a record has last = true and the full payload's digest: of a response the one that its bytes gave,
-    which has to agree with its header, of a revisit the header's. `payload_bytes` is likewise counted or stated.
+    which has to agree with its header, of a revisit the header's. `payload_bytes` is likewise counted or stated. Records of null page_ids have none again; an empty
+    manifest gives no rows.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, chunk_no int, last boolean" + ", chunk binary" * with_payload
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()] + [pa.binary()] * with_payload
