@@ -40,7 +40,16 @@ def give_back() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+#: What a worker process remembers between tasks that ask for it; tasks of other kinds forget it.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    for kept in REMEMBERED:
+        kept.clear()
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType, remembers: bool = False) -> DataFrame:
     """mapInArrow with this package at hand: its source goes to the executors once a session, wherever they run."""
     sc = df.sparkSession.sparkContext
     if not getattr(sc, "_millrace_sent", False):
@@ -53,6 +62,8 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
         sc._millrace_sent = True
 
     def run(batches: Iterator) -> Iterator:
+        if not remembers:
+            forget()
         yield from function(batches)
         give_back()
 
@@ -148,11 +159,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = starred(both.where("b > a"), least, 2 * total)
         # Small star: each node sends its smaller neighbours, and itself, to the smallest of them.
+        large = stored(large, "cc")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = starred(large, low, total).unionAll(low.select("a", F.col("m").alias("b")))
         last, e = e, stored(small.where("a <> b").distinct(), "cc")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         discard(last)
+        discard(large)
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
                 e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -82,7 +82,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int
             )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return map_arrow(docs.select("doc_id", "text"), cut, schema)
+    return map_arrow(docs.select("doc_id", "text"), cut, schema, remembers=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -90,7 +90,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: in
 
     Null text is empty and still has its end id. Only documents longer than `room` are cut; repeated rows are packed as often as they
     occur, equal pieces in any order. The histogram of lengths (at most `room` rows) alone reaches the driver; best fit
-    runs over its counts, and a piece takes the slot that its rank among pieces of its length was planned. An empty table gives no rows.
+    runs over its counts, and a piece takes the slot that its rank among pieces of its length was planned. Null doc_ids are values like any other, long texts are encoded whole, and
+    other columns aren't looked at, whatever their names. An empty table gives no rows.
     """
     pieces = stored(token_pieces(docs, tokenizer, room, end_id, with_ids), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

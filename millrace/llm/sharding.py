@@ -39,8 +39,10 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     Size is UTF-8 bytes plus 1 (null text: 1). Documents with equal texts form a group. Groups that hold more than 1/GRAIN
     of a shard in any dimension (at most 3 * GRAIN * shards can) are placed one by one; only those over a whole shard are split by
     document first, into pieces of about BIG / GRAIN of a shard. All others are gathered by hash into GRAIN * shards bundles, which are
-    placed the same way, so each stays together. So the driver places a number of units that is bounded by the parameters, whatever the input.
-    Null and empty texts are groups of their own. Repeated rows may take either's slot. An empty table gives no rows.
+    placed the same way, so each stays together. So the driver places a number of units that is bounded by the parameters, whatever the input. Shards differ by
+    about the smallest unit where no group is large; a group of nearly a shard can make its shard larger by what is left of it.
+    Null and empty texts are groups of their own, and a text of any length is one document. Repeated rows may take either's slot. Other columns aren't looked at,
+    whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))

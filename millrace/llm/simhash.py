@@ -428,9 +428,10 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     met = stored(met.withColumn("hot", F.lit(False)).unionAll(hot.join(F.broadcast(leads), "key").select("key", "id", "n", "at", "lead", F.lit(True).alias("hot"))), "met")
     star = met.select(F.struct("id", "n", "at").alias("p"), F.col("lead").alias("q")).where(F.col("p.id") != F.col("q.id"))
     star = star.where(may("p", "q")).select(*pair("p", "q"))
-    first = linked(fingerprint_pairs(nodes, radius, rows.count()).unionAll(star))
+    first = linked(stored(fingerprint_pairs(nodes, radius, rows.count()), "near").unionAll(star))
     comps = stored(components(first), "joined")
-    met = met.drop("lead").join(comps, met.id == comps.node, "left").select("key", "hot", "id", "n", "at", F.coalesce("component", "id").alias("g"))
+    # Leaders have met all others of their buckets, so of a bucket of two nothing is left.
+    met = met.where(F.col("id") != F.col("lead.id")).join(comps, met.id == comps.node, "left").select("key", "hot", "id", "n", "at", F.coalesce("component", "id").alias("g"))
     # Groups that meet in a bucket, and then their members: those of a bucket with one group aren't touched again.
     several = met.groupBy("key", "hot").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key", "hot")
     cold = met.where("not hot").join(several.where("not hot").select("key"), "key", "left_semi")

@@ -107,7 +107,8 @@ def write_token_files(
     doc_ids come first; equal doc_ids are ordered by a hash of the text. The dictionary is trained on the ids of the `samples`
     documents with the smallest hashes of doc_id, but for those of over `most_sample` characters; nothing else is sampled. Each task writes a file of
     its own name, and only files of tasks that succeeded are in the manifest, so lost executors and repeated tasks leave no
-    mark. `base` is the number of ids in all files before. Files are for the folder's owner to delete.
+    mark. `base` is the number of ids in all files before. Files are for the folder's owner to delete. Repeated rows are documents each, texts of any length are encoded whole, other
+    columns aren't looked at, whatever their names, and an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     out_dir = out_dir or fresh_dir(spark, "tokens")
@@ -146,7 +147,7 @@ def write_token_files(
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("__h")]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    manifest = stored(map_arrow(spread, write, "seq long, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = stored(map_arrow(spread, write, "seq long, path string, n_docs long, n_tokens long", remembers=True), "manifest")
     before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("dictionary", F.lit(book))
 

@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from millrace.llm.common import REMEMBERED
+
 #: The encoder remembers so many words (about 200 bytes each), then asks the library for the others each time.
 MOST_WORDS = 300_000
 #: A word is remembered when it comes a second time; a byte for each of so many hash values tells.
@@ -119,6 +121,7 @@ class Encoder:
 
 
 _encoders: dict[int, Encoder] = {}
+REMEMBERED.append(_encoders)
 
 
 def encoder(definition: str) -> Encoder:

@@ -261,3 +261,22 @@ def test_packing_carries_ids_and_odd_rows(odd_docs, no_docs, tokenizer):
     check_packed(got, 4096, {})
     assert sum(r.doc_id == 10 for r in got) == 2
     assert packing.pack_documents(no_docs, tokenizer).count() == 0
+
+
+def test_tasks_that_encode_nothing_forget_the_encoder(spark, docs, tokenizer):
+    """In the worker processes that the encoder's tasks have used."""
+    from millrace.llm.common import map_arrow
+
+    def held(batches):
+        import pyarrow as pa
+
+        from millrace.llm import tokens
+
+        n = len(tokens._encoders)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [n] * batch.num_rows})
+
+    packing.token_pieces(docs, tokenizer).count()
+    rows = docs.select("doc_id")
+    assert {r.n for r in map_arrow(rows, held, "n int", remembers=True).collect()} == {1}
+    assert {r.n for r in map_arrow(rows, held, "n int").collect()} == {0}

@@ -129,17 +129,43 @@ def test_recall_against_brute_force(spark, sf):
     assert all(np.isclose(s, scores[q, i], rtol=1e-12) for q, v in got.items() for i, s in v if (q, i) in scores)
 
 
-def test_every_code_within_the_radius_is_found():
+@pytest.mark.parametrize("length", ann.LENGTHS)
+def test_every_code_within_the_radius_is_found(length):
+    """With substrings of every length, looked up by signature or compared."""
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 2**16, (500, 4), dtype=np.uint16)
-    codes[100:200] = codes[0] ^ (1 << rng.integers(0, 16, (100, 4))).astype(np.uint16)
-    table = ann.Index(codes)
-    for radius in (0, 3, 7, 20, 64):
-        least = ann.thresholds(radius, 4)
+    words = rng.integers(0, 2**64, (500, 8), dtype=np.uint64)
+    for i in range(100, 200):
+        words[i] = words[0]
+        for bit in rng.choice(512, rng.integers(0, 60), replace=False):
+            words[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    words[200:230] = words[0]
+    table, parts = ann.Index(words, length), 512 // length
+    for radius in (0, 3, 40, 200, 512):
+        least = ann.thresholds(radius, parts)
         assert (least + 1).sum() == radius + 1
         for q in (0, 150, 499):
-            want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= radius)
-            assert table.within(codes[q], radius, least).tolist() == want.tolist()
+            want = np.flatnonzero(ann.apart(words, words[q]) <= radius)
+            assert table.within(words[q], radius, least).tolist() == want.tolist()
+
+
+def test_clustered_vectors_are_looked_up_by_short_substrings():
+    """Where neighbours are near, few buckets are opened; where nothing is near, long substrings are chosen."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 32))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(scale=0.01, size=(6000, 32))
+    near, far = ann.Model(x, len(x), 10, 8, 0.99), ann.Model(rng.normal(size=(6000, 32)), 6000, 10, 8, 0.99)
+    assert near.length < far.length
+    words = ann.encode(x, near.mean, near.matrix)
+    table = ann.Index(words, near.length)
+    assert np.mean([len(table.probed(words[i], near.least)) for i in range(0, 6000, 100)]) < 0.05 * len(x)
+
+
+def test_queries_of_one_id_and_different_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((i, [float(i), 1.0]) for i in range(1, 40))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    runs = [sorted(map(tuple, ann.nearest_vectors(d).collect())) for d in (df, df.repartition(3), df.orderBy("embedding"))]
+    assert runs[0] == runs[1] == runs[2]
+    assert len(runs[0]) == 10
 
 
 def test_odd_vectors_ties_and_few_rows(spark):
@@ -213,6 +239,30 @@ def test_archives_are_begun_anew_and_damage_is_seen(odd_pages, tmp_path):
         warc.read_archives(manifest).collect()
 
 
+def test_bodies_are_not_moved(odd_pages):
+    """Neither copies nor others: the plan of the record table has no exchange but that of the broadcast list."""
+    out = warc.record_table(odd_pages)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange" in x and "ReusedExchange" not in x]
+    assert len(exchanges) == 1
+    assert "BroadcastExchange" in exchanges[0]
+    assert out.where("record_type = 'revisit'").count() > 0
+
+
+def test_a_long_list_of_revisits_is_shuffled(odd_pages, monkeypatch):
+    want = sorted(map(str, warc.record_table(odd_pages).drop("chunk").collect()))
+    monkeypatch.setattr(warc, "MOST_KEYS", 0)
+    assert sorted(map(str, warc.record_table(odd_pages).drop("chunk").collect())) == want
+
+
+@pytest.mark.parametrize("how", ["shuffled", "cut short"])
+def test_records_out_of_order_are_told(odd_pages, tmp_path, how):
+    rows = warc.record_table(odd_pages)
+    rows = rows.coalesce(1).orderBy(F.desc("chunk_no")) if how == "shuffled" else rows.where("chunk_no + 1 < chunks")
+    with pytest.raises(Exception, match=r"page \S+: (chunk|it ends)"):
+        warc.write_archives(rows, str(tmp_path / "w"))
+
+
 def test_no_pages(odd_pages):
     assert warc.read_archives(warc.write_archives(warc.record_table(odd_pages.limit(0)))).count() == 0
 

@@ -1,0 +1,369 @@
+"""The registered queries: columns, types and what their contracts say, against brute force where SQL has no say."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from millrace.llm import ann, langid, quality, queries
+
+DATA = "/root/testdata"
+TYPES = {
+    "op1_quality": "doc_id bigint, votes string, posterior double, score double, keep boolean",
+    "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int, tokens bigint",
+    "op3_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op4_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op5_language": "doc_id bigint, held_out boolean, lang_pred string, score double, ambiguous boolean",
+    "op6_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op7_nearest": "query_id bigint, rank int, vec_id bigint, score double",
+    "op8_token_ids": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op9_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint, source string, repeats int",
+}
+
+
+@pytest.fixture(scope="module")
+def result(spark, sf):
+    made = {}
+
+    def get(name):
+        if name not in made:
+            df = queries.QUERIES[name](spark, sf)
+            made[name] = (", ".join(f"{c} {t}" for c, t in df.dtypes), df.collect())
+        return made[name]
+
+    return get
+
+
+@pytest.mark.parametrize("name", sorted(TYPES))
+def test_columns_and_types(result, texts, name):
+    types, rows = result(name)
+    assert types == TYPES[name]
+    if "doc_id" in types and name != "op9_packing":
+        assert sorted(r.doc_id for r in rows) == sorted(texts)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text or "")
+
+
+# --- quality
+
+
+def votes_of(text):
+    """The labellers written down once more, byte by byte."""
+    raw = (text or "").encode()
+    w = [x for x in re.split(rb"[\x20\x09-\x0d]+", raw) if x]
+    kind = ["a" if b >= 128 or chr(b).islower() else "A" if chr(b).isupper() else "0" if chr(b).isdigit() else " " if b == 32 or 9 <= b <= 13 else chr(b) for b in raw]
+    count, n = Counter(kind), max(len(w), 1)
+    letters, solid = count["a"] + count["A"], len(raw) - count[" "]
+    marks = [k not in "aA0 " for k in kind]
+    runs = sum(m and k == j for m, k, j in zip(marks[1:], kind[1:], kind, strict=False))
+    ends = sum(k in ".!?" and (i + 1 == len(kind) or kind[i + 1] == " ") for i, k in enumerate(kind))
+    bare = sum(all(not (b >= 128 or chr(b).isalnum()) for b in x) for x in w)
+    repeats = sum(a == b for a, b in zip(w, w[1:], strict=False))
+
+    def three(x, good, bad):
+        return "+" if x <= good else "-" if x >= bad else "."
+
+    out = ["."] * 9
+    if len(w) >= 8:
+        out[0] = three((solid - letters - count["0"]) / max(solid, 1), 0.05, 0.1)
+        out[1] = three(runs / n, 0.02, 0.2)
+        out[2] = three(count["A"] / max(letters, 1), 0.25, 0.5)
+        out[3] = three(w.count(b"|") / n, 0, 0.12)
+        out[4] = three(bare / n, 0.02, 0.12)
+        out[5] = three(repeats / n, 0.03, 0.25)
+        out[8] = "+" if 3 <= solid / n <= 9 else "." if 2 <= solid / n <= 20 else "-"
+    if len(w) >= 32:
+        out[6] = "+" if len(set(w)) >= n**0.7 else "-" if len(set(w)) <= n**0.5 else "."
+        out[7] = "-" if not ends else "+" if ends <= n / 2 else "."
+    return "".join(out)
+
+
+def posteriors(votes, rounds=200):
+    """Expectation-maximisation over documents, one by one."""
+    good = [[0.95, 0.1, 0.01][min(v.count("-"), 2)] for v in votes]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(good) + 2)
+        share = {}
+        for c in (0, 1):
+            for k in range(9):
+                n = {x: 0.1 for x in "-+."}
+                for v, g in zip(votes, good, strict=True):
+                    if v[k] != ".":
+                        n[v[k]] += g if c else 1 - g
+                share[c, k] = {x: n[x] / sum(n.values()) for x in n}
+        new = []
+        for v in votes:
+            ll = [math.log(prior if c else 1 - prior) + sum(math.log(share[c, k][x]) for k, x in enumerate(v) if x != ".") for c in (0, 1)]
+            new.append(1 / (1 + math.exp(ll[0] - ll[1])))
+        if max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9:
+            return new
+        good = new
+    return good
+
+
+def features_of(text):
+    """A row of the scorer's input, in full."""
+    raw, x = (text or "").encode(), np.zeros(quality.FEATURES)
+    w = [k for k in re.split(rb"[\x20\x09-\x0d]+", raw) if k]
+    x[-1] = 1
+    shapes = re.sub(rb"[a-z\x80-\xff]+", b"a", raw)
+    for pattern, to in ((rb"[A-Z]+", b"A"), (rb"[0-9]+", b"0"), (rb"([^aA0\x20\x09-\x0d])\1*", rb"\1")):
+        shapes = re.sub(pattern, to, shapes)
+    for lead, found in ((b"w", w), (b"s", [k for k in re.split(rb"[\x20\x09-\x0d]+", shapes) if k])):
+        norm = math.sqrt(len(found))
+        for k, n in Counter(found).items():
+            x[zlib.crc32(k, lead[0]) % (quality.FEATURES - 1)] += math.sqrt(n) / norm
+    n, letters = max(len(w), 1), sum(b >= 128 or chr(b).isalpha() for b in raw)
+    solid = sum(map(len, w))
+    upper, digits = sum(65 <= b <= 90 for b in raw), sum(48 <= b <= 57 for b in raw)
+    rates = (sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, w.count(b"|") / n, upper / max(letters, 1), (solid - letters - digits) / max(solid, 1))
+    for k, r in enumerate(rates):
+        x[zlib.crc32(bytes([k]), 7) % (quality.FEATURES - 1)] = min(1, 2 * r)
+    return x
+
+
+def test_quality_against_brute_force(result, texts):
+    """All labels, posteriors and scores of the table; fewer documents than the sample, so the scorer is taught on all that have votes."""
+    got = {r.doc_id: r for r in result("op1_quality")[1]}
+    ids = sorted(texts)
+    votes = [votes_of(texts[i]) for i in ids]
+    assert [got[i].votes for i in ids] == votes
+    post = posteriors(votes)
+    assert np.allclose([got[i].posterior for i in ids], post, atol=1e-6)
+    first = {}
+    for k, i in enumerate(ids):
+        first.setdefault((i, texts[i]), k)
+    taught = [k for k in first.values() if set(votes[k]) != {"."}]
+    x, y = np.array([features_of(texts[i]) for i in ids]), np.array(post)
+    w, m, v = np.zeros(quality.FEATURES), np.zeros(quality.FEATURES), np.zeros(quality.FEATURES)
+    a, b = x[taught], y[taught]
+    weight = np.where(b > 0.5, 0.5 / max((b > 0.5).sum(), 1), 0.5 / max((b <= 0.5).sum(), 1))
+    for t in range(1, 301):
+        g = a.T @ ((1 / (1 + np.exp(-np.clip(a @ w, -50, 50))) - b) * weight) + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    want = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+    assert np.allclose([got[i].score for i in ids], want, atol=0.02)
+    assert sum(got[i].keep != (s >= quality.THRESHOLD) for i, s in zip(ids, want, strict=True)) == 0
+
+
+def test_the_sample_is_the_same_whatever_the_order(spark, docs):
+    """Null doc_ids share a hash; the text decides among them, and reruns agree."""
+    rows = docs.selectExpr("cast(null as long) as doc_id", "text")
+    runs = [sorted((r.votes, r.score) for r in quality.score_quality(df, sample=20).collect()) for df in (rows, rows.repartition(5))]
+    assert np.allclose([s for _, s in runs[0]], [s for _, s in runs[1]], atol=1e-9)
+
+
+# --- sharding
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_groups_that_fit_a_shard_are_whole(spark, size):
+    rows = duckdb.sql(f"select doc_id, coalesce(text, '') as t from '{DATA}/{size}/documents.parquet'").fetchall()
+    text = dict(rows)
+    got = queries.op2_sharding(spark, f"{DATA}/{size}").collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    at, by, n = defaultdict(list), defaultdict(list), Counter()
+    for r in got:
+        t = text[r.doc_id]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None)
+        at[t].append(r)
+        by[r.shard].append(r.slot)
+        n[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert set(by) == set(range(16))
+    total = {"size": sum(r.size for r in got), "tokens": sum(r.tokens for r in got), "rows": len(got)}
+    for rs in at.values():
+        if sum(r.size for r in rs) * 16 <= total["size"] and sum(r.tokens for r in rs) * 16 <= total["tokens"] and 16 * len(rs) <= total["rows"]:
+            assert len({r.shard for r in rs}) == 1
+    assert max(n.values()) - min(n.values()) <= (0.05 if size == "sf0.001" else 0.01) * total["size"] / 16
+
+
+# --- SimHash
+
+
+def test_simhash_query_against_every_pair(result, texts):
+    fps = {}
+    for i, t in texts.items():
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0d]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t or ""))]
+        s = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(fps):
+        for b in sorted(fps):
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in result("op3_simhash")[1]} == {i: (f"{fps[i]:016x}", find(i)) for i in fps}
+
+
+# --- languages
+
+
+def test_languages_against_brute_force(result, docs):
+    """Trigram counts, classifiers and decoding written down once more, with dictionaries."""
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def counts(text):
+        raw = b" " + text.lower().encode() + b" "
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in raw)
+        grams = [raw[k : k + 3] for k in range(len(raw) - 2) if raw[k : k + 3] != b"   "]
+        return Counter((int.from_bytes(g, "big") * 2654435761 % 2**32) >> 19 for g in grams)
+
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in rows}
+    taught = {i: r for i, r in rows.items() if not held[i] and r.lang is not None and r.text is not None}
+    langs = sorted({r.lang for r in taught.values()})
+    assert 2 <= len(langs) <= 7
+    sums = {x: Counter() for x in langs}
+    for r in taught.values():
+        sums[r.lang].update(counts(r.text))
+    share = np.array([[sums[x][f] + 0.5 for f in range(langid.FEATURES)] for x in langs])
+    share /= share.sum(axis=1, keepdims=True)
+    splits = [[1, *(1 if k >> j & 1 == 0 else -1 for j in reversed(range(len(langs) - 1)))] for k in range(1, 2 ** (len(langs) - 1))]
+    bits = [(np.array(s), np.log(share[np.array(s) > 0].mean(axis=0)) - np.log(share[np.array(s) < 0].mean(axis=0))) for s in splits]
+
+    def margins(text):
+        c = counts(text)
+        n = sum(c.values())
+        return [sum(k * w[f] for f, k in c.items()) / max(n, 1) * min(n, 64) for _, w in bits]
+
+    right = np.zeros((len(bits), len(langs), 2))
+    for r in taught.values():
+        for b, z in enumerate(margins(r.text)):
+            right[b, langs.index(r.lang)] += (z * bits[b][0][langs.index(r.lang)] > 0, 1)
+    p = ((right[..., 0] + 1) / (right[..., 1] + 2)).mean(axis=1)
+    trust = np.clip(np.log(p / (1 - p)), 0.05, 6)
+    for r in result("op5_language")[1]:
+        text = rows[r.doc_id].text
+        assert r.held_out == held[r.doc_id]
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        z = margins(text)
+        loss = [sum(t * np.logaddexp(0, -m * s[k]) for t, m, (s, _) in zip(trust, z, bits, strict=True)) / trust.sum() * max(1, len(bits) / 2) for k in range(len(langs))]
+        e = np.exp(min(loss) - np.array(loss))
+        assert math.isclose(r.score, e.max() / e.sum(), rel_tol=1e-6)
+        assert math.isclose(e[langs.index(r.lang_pred)], 1, rel_tol=1e-6)
+
+
+# --- nearest neighbours
+
+
+def test_recall_and_pruning_on_the_largest_table(spark):
+    """Most of the true neighbours of all queries, from few vectors: fewer than a tenth are looked into."""
+    vectors = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    rows = vectors.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    asked = {i: x[k] for k, i in enumerate(ids.tolist()) if i % 100 == 0}
+    found = defaultdict(list)
+    for r in queries.op7_nearest(spark, f"{DATA}/sf0.1").orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(found) == set(asked)
+    hits = 0
+    for q, v in asked.items():
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]].tolist()
+        hits += len({i for _, i, _ in found[q]} & set(want))
+        assert [k for k, _, _ in found[q]] == list(range(1, 11))
+        assert all(s == d[ids == i][0] for _, i, s in found[q])
+        assert found[q] == sorted(found[q], key=lambda t: (t[2], t[1]))
+    assert hits >= 0.95 * 10 * len(asked)
+    model = ann.Model(x, len(x), 10, 8, 0.99)
+    usable = ann.usable(vectors)
+    index = ann.pack(usable, 500, "index")
+    few = ann.search(index, ann.pack(usable.where("vec_id % 100 = 0"), 100, "queries"), model, "<f4", 10)
+    probed = few.select("query_id", "block", "probed").distinct().groupBy("query_id").sum("probed").collect()
+    assert sum(r[1] for r in probed) < 0.1 * len(x) * len(asked)
+
+
+def test_no_ids_of_blocks_reach_the_plan(spark):
+    """Blocks meet by joins: their numbers are neither collected nor written into the query."""
+    rows = spark.range(3000).selectExpr("id as vec_id", "transform(sequence(0, 7), i -> cast(xxhash64(id, i) % 1000 as float)) as embedding")
+    model = ann.Model(np.random.default_rng(1).normal(size=(500, 8)), 3000, 10, 8, 0.99)
+    index, asked = ann.pack(rows, 100, "index"), ann.pack(rows.where("vec_id % 100 = 0"), 10, "queries")
+    plan = ann.search(index, asked, model, "<f4", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5000
+
+
+# --- token ids, packing
+
+
+def test_ids_against_the_library(result, texts, tokenizer):
+    from tokenizers import Tokenizer
+
+    library, start = Tokenizer.from_file(tokenizer), 0
+    got, pieces = {r.doc_id: r for r in result("op8_token_ids")[1]}, defaultdict(list)
+    for r in result("op9_packing")[1]:
+        pieces[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i in sorted(texts):
+        raw = np.array([*library.encode(texts[i] or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(raw) // 4, zlib.crc32(raw))
+        start += len(raw) // 4
+        cuts = [raw[k : k + 4 * 4096] for k in range(0, len(raw), 4 * 4096)]
+        assert sorted(pieces[i]) == [(k, 4096 * k, len(c) // 4, zlib.crc32(c)) for k, c in enumerate(cuts)]
+
+
+def test_sequences_are_as_few_as_can_be_or_nearly(result):
+    used = defaultdict(list)
+    for r in result("op9_packing")[1]:
+        used[r.sequence_id].append((r.offset, r.length))
+    for spans in used.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        assert sum(n for _, n in spans) <= 4096
+    total = sum(n for s in used.values() for _, n in s)
+    assert len(used) <= 1.02 * math.ceil(total / 4096) + 1
+
+
+# --- mixing
+
+
+def test_mix_query(result, docs):
+    rows = {r.doc_id: r for r in docs.collect()}
+    sizes, taken, longest = Counter(), Counter(), Counter()
+    for r in rows.values():
+        sizes[r.source] += len(words(r.text))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    full, left = {}, 1.5 * sum(sizes.values())
+    while over := [s for s in order if s not in full and left * weight[s] / sum(weight[x] for x in order if x not in full) > 2 * sizes[s]]:
+        full |= {s: 2 * sizes[s] for s in over}
+        left = 1.5 * sum(sizes.values()) - sum(full.values())
+    for r in result("op10_mixing")[1]:
+        s = rows[r.doc_id].source
+        want = full.get(s) or left * weight[s] / sum(weight[x] for x in order if x not in full)
+        assert (r.size, r.source_size, r.source) == (len(words(rows[r.doc_id].text)), sizes[s], s)
+        assert math.isclose(r.target, want, rel_tol=1e-9)
+        assert r.taken <= 2 * r.size
+        taken[s] += r.taken
+        longest[s] = max(longest[s], r.size)
+    for r in result("op10_mixing")[1]:
+        assert abs(taken[r.source] - r.target) <= longest[r.source] / 2 + 1
+
+
+def test_rows_without_an_id_are_mixed_near_the_target(spark, docs):
+    from millrace.llm.mixing import mix_sources
+
+    got = mix_sources(docs.selectExpr("cast(null as long) as doc_id", "text", "source")).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        same = Counter()
+        for r in own:
+            same[r.size] += r.size  # equal texts are decided together
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(same.values())
