@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: quality, exact and near duplicates, mixture, packing."""
+"""A training corpus from raw documents: quality, exact and near duplicates, mixture, packing.
+
+Every stage takes whole texts, however long, and all but the last return the columns of their input, whatever their names. Null and empty texts are documents
+like others: the classifier scores them, they form one group of exact duplicates, are mixed with size 0 and packed as an end id. Null doc_ids and sources are values of
+their own. Rows of one doc_id with different texts are different documents; of rows that agree in both one stays in each deduplication. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,27 @@ from millrace.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps; equal texts are decided alike."""
     return keep_quality(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal up to white space."""
+    """One document of each group of texts that are equal up to white space: that with the smallest doc_id, null ones last."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 of five-word shingles: that with the smallest doc_id, null ones last."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them: none, once or twice."""
     return take_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 4096 tokens."""
+    """Pieces of documents and their places in sequences of 4096 tokens; repeats from the mixture are packed as often as they occur."""
     return pack_documents(docs, tokenizer_path(), room=4096, end_id=1)
 
 
