@@ -67,8 +67,9 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 
 def mix_hash() -> Column:
-    """Of doc_id and text, so that rows without a doc_id don't share one."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("mix")), 64 - HASH_BITS)
+    """The first HASH_BITS of the MD5 of doc_id and text, so that rows without a doc_id don't share one."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(own), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def mix_sources(

@@ -94,6 +94,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # Targets: in each step sources whose share is above twice their size are fixed. Thresholds: sums of sizes in order of hashes.
+    "op10_mixing": r"""
+        with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                cast('0x' || left(md5(concat(coalesce(cast(doc_id as varchar), '-'), '/', coalesce(text, ''))), 15) as bigint) as h from documents),
+            s as (select source, sum(size) as n, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w from d group by source),
+            steps as (select 0 as step, source, n, w, false as fixed from s
+                union all
+                select step + 1, source, n, w, fixed or (1.5 * sum(n) over () - 2.0 * coalesce(sum(n) filter (fixed) over (), 0)) * w
+                    / (sum(w) filter (not fixed) over ()) >= 2.0 * n
+                from steps where step < (select count(*) from s)),
+            goal as (select source, n, case when fixed then 2.0 * n else (1.5 * sum(n) over () - 2.0 * coalesce(sum(n) filter (fixed) over (), 0)) * w
+                    / (sum(w) filter (not fixed) over ()) end as target
+                from steps where step = (select count(*) from s)),
+            need as (select *, case when n > 0 then cast(floor(target / n) as integer) else 0 end as base from goal),
+            cells as (select source, h, sum(size) as k from d group by source, h),
+            sums as (select *, sum(k) over (partition by source order by h) as upto from cells),
+            ends as (select c.source, min_by(c.h + cast(abs(upto - (target - base * n)) < abs(upto - k - (target - base * n)) as integer), c.h) as threshold
+                from sums as c join need on c.source is not distinct from need.source
+                where target - base * n > 0 and upto >= target - base * n group by c.source)
+        select doc_id, cast(size as bigint) as size, cast(n as bigint) as source_size, cast(target as double) as target, d.source,
+            cast(base + cast(h < coalesce(threshold, 0) as integer) as integer) as repeats,
+            cast(size * (base + cast(h < coalesce(threshold, 0) as integer)) as bigint) as taken
+        from d join need on d.source is not distinct from need.source left join ends on d.source is not distinct from ends.source""",
     "op6_warc": """
         select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest,
             case when strlen(h) >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
