@@ -421,9 +421,9 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = entries.where("at < cool").withColumn("lead", F.first(entry).over(bucket)).withColumn("last", F.last("id").over(whole))
     met = met.where(F.col("lead.id") != F.col("last")).select("key", "id", "n", "at", "lead")
-    # Hot buckets, COMMON at most, are aggregated on the map side, and their leaders are broadcast.
+    # Hot buckets, COMMON at most, are aggregated on the map side, and their leaders are broadcast. A large group has many of them in common, so one order is enough.
     hot = entries.where("at >= cool")
-    leads = hot.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "at")).alias("l"), F.max("id").alias("high"), F.min("id").alias("low"))
+    leads = hot.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n", "at")).alias("l"), F.max("id").alias("high"), F.min("id").alias("low"))
     leads = leads.where("low < high").select("key", F.struct("l.id", "l.n", "l.at").alias("lead"))
     met = stored(met.withColumn("hot", F.lit(False)).unionAll(hot.join(F.broadcast(leads), "key").select("key", "id", "n", "at", "lead", F.lit(True).alias("hot"))), "met")
     star = met.select(F.struct("id", "n", "at").alias("p"), F.col("lead").alias("q")).where(F.col("p.id") != F.col("q.id"))
