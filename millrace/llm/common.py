@@ -44,14 +44,23 @@ def give_back() -> None:
 REMEMBERED: list[dict] = []
 
 
+#: Most rows of an Arrow batch that workers are sent: ten thousand texts, Spark's default, cost a worker and its executor hundreds of megabytes.
+MOST_BATCH = 2000
+
+
 def forget() -> None:
     for kept in REMEMBERED:
         kept.clear()
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str | StructType, remembers: bool = False) -> DataFrame:
-    """mapInArrow with this package at hand: its source goes to the executors once a session, wherever they run."""
-    sc = df.sparkSession.sparkContext
+    """mapInArrow with this package at hand: its source goes to the executors once a session, wherever they run.
+
+    The session's Arrow batches are set to MOST_BATCH rows, unless they are smaller.
+    """
+    sc, rows = df.sparkSession.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= MOST_BATCH:
+        df.sparkSession.conf.set(rows, str(MOST_BATCH))
     if not getattr(sc, "_millrace_sent", False):
         top = Path(__file__).resolve().parents[1]
         out = Path(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")

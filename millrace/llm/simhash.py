@@ -434,14 +434,17 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     met = met.where(F.col("id") != F.col("lead.id")).join(comps, met.id == comps.node, "left").select("key", "hot", "id", "n", "at", F.coalesce("component", "id").alias("g"))
     # Groups that meet in a bucket, and then their members: those of a bucket with one group aren't touched again.
     several = met.groupBy("key", "hot").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key", "hot")
-    cold = met.where("not hot").join(several.where("not hot").select("key"), "key", "left_semi")
-    met = stored(cold.unionAll(met.where("hot").join(F.broadcast(several.where("hot").select("key")), "key", "left_semi").select(*cold.columns)), "several")
-    groups = met.select("key", "g").distinct()
+    entry = [F.struct("id", "n", "at").alias(x) for x in ("p", "q")]
+    cold = stored(met.where("not hot").join(several.where("not hot").select("key"), "key", "left_semi").select("key", "id", "n", "at", "g"), "several")
+    p, q = (cold.select("key", F.col("g").alias(g), e) for g, e in zip(("g1", "g2"), entry, strict=True))
+    more = p.join(q, "key").where((F.col("g1") < F.col("g2")) & may("p", "q")).select(*pair("p", "q"))
+    # In a hot bucket groups are paired first, as one may hold most of its members.
+    hot = stored(met.where("hot").join(F.broadcast(several.where("hot").select("key")), "key", "left_semi").select("key", "id", "n", "at", "g"), "several")
+    groups = hot.select("key", "g").distinct()
     two = groups.withColumnRenamed("g", "g1").join(groups.withColumnRenamed("g", "g2"), "key").where("g1 < g2")
-    p = met.select("key", F.col("g").alias("g1"), F.struct("id", "n", "at").alias("p"))
-    q = met.select("key", F.col("g").alias("g2"), F.struct("id", "n", "at").alias("q"))
-    more = two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(may("p", "q"))
-    more = linked(more.select(*pair("p", "q")))
+    p, q = (hot.select("key", F.col("g").alias(g), e) for g, e in zip(("g1", "g2"), entry, strict=True))
+    more = more.unionAll(two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(may("p", "q")).select(*pair("p", "q")))
+    more = linked(more)
     return first.unionAll(more)
 
 

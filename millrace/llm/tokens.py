@@ -27,6 +27,18 @@ LINE = 200
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def parts_of(definition: str, names: tuple[str, ...]) -> dict:
+    """Members of a JSON object by name; others are read only if the first place that a name is followed by a colon holds a number or text."""
+    out = {}
+    for name in names:
+        if found := re.search(rf'"{name}"\s*:\s*', definition):
+            out[name] = json.JSONDecoder().raw_decode(definition, found.end())[0]
+    if any(not isinstance(x, (dict, list, type(None))) for x in out.values()):
+        whole = json.loads(definition)
+        return {name: whole.get(name) for name in names}
+    return out
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's without special tokens.
 
@@ -39,13 +51,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, spec = Tokenizer.from_str(definition), json.loads(definition)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.library = Tokenizer.from_str(definition)
+        # The vocabulary is skipped: as Python objects it would take a worker more memory than all else.
+        kind, spec = self.library.model.__class__.__name__, parts_of(definition, ("added_tokens", "normalizer", "pre_tokenizer"))
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in norm.get("normalizers", [])]
         cut, *rest = pre.get("pretokenizers") or [{}]
         self.remembers = (
-            spec["model"]["type"] == "BPE"
+            kind == "BPE"
             and steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
             and (cut.get("type"), cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
             and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
