@@ -440,8 +440,12 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     more = p.join(q, "key").where((F.col("g1") < F.col("g2")) & may("p", "q")).select(*pair("p", "q"))
     # In a hot bucket groups are paired first, as one may hold most of its members.
     hot = stored(met.where("hot").join(F.broadcast(several.where("hot").select("key")), "key", "left_semi").select("key", "id", "n", "at", "g"), "several")
-    groups = hot.select("key", "g").distinct()
-    two = groups.withColumnRenamed("g", "g1").join(groups.withColumnRenamed("g", "g2"), "key").where("g1 < g2")
+    groups = hot.groupBy("key", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("reach"))
+    x, y = (groups.toDF("key", *[f"{c}{i}" for c in ("g", "lo", "hi", "reach")]) for i in (1, 2))
+    # What may() says of members, by bounds of groups.
+    sizes = (F.col("hi1") >= F.lit(similarity) * F.col("lo2") - SLACK) & (F.col("hi2") >= F.lit(similarity) * F.col("lo1") - SLACK)
+    shared = F.least("reach1", "reach2") >= F.lit(similarity / (1 + similarity)) * (F.col("lo1") + F.col("lo2")) - SLACK
+    two = x.join(y, "key").where((F.col("g1") < F.col("g2")) & sizes & shared).select("key", "g1", "g2")
     p, q = (hot.select("key", F.col("g").alias(g), e) for g, e in zip(("g1", "g2"), entry, strict=True))
     more = more.unionAll(two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(may("p", "q")).select(*pair("p", "q")))
     more = linked(more)
