@@ -348,8 +348,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
 # --- near-duplicate documents, verified
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sets of shingles have at least this Jaccard similarity, as a stored table. Only texts in pairs are hashed again."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, repeats: bool) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets of shingles have at least this Jaccard similarity, as a stored table. Only texts in pairs are hashed again.
+
+    `repeats` says whether several rows may have a node's text, one of which is used.
+    """
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     ids = stored(nodes.select("id", "h1", "h2").join(ids, "id", "left_semi"), "ids")
 
@@ -371,7 +374,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     few = F.broadcast(ids) if ids.count() <= MOST_KEYS else ids
     own = docs.select(*text_key(), "text").join(few, ["h1", "h2"]).select("id", "text")
-    own = stored(map_arrow(own, sets, "id long, set binary").dropDuplicates(["id"]), "sets")
+    own = map_arrow(own, sets, "id long, set binary")
+    own = stored(own.dropDuplicates(["id"]) if repeats else own, "sets")
     left = own.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = own.select(F.col("id").alias("b"), F.col("set").alias("y"))
     links = stored(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), keep, "a long, b long"), "links")
@@ -389,7 +393,7 @@ def fingerprint_pairs(nodes: DataFrame, radius: int, total: int) -> DataFrame:
     return same.unionAll(links.select(F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")))
 
 
-def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int, repeats: bool) -> DataFrame:
     """Links (a, b) between rows of text_sets(), numbered by id and of different texts, with the components of all pairs of at least the similarity."""
     nodes = rows.where("n > 0")
 
@@ -411,7 +415,7 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
         # Of sets this similar, the difference holds at most this share of both sizes.
         most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + SLACK
         sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - SLACK
-        return verified(stored(pairs.where(sizes & (apart <= most)).select("a", "b"), "candidates"), nodes, docs, shingle, similarity)
+        return verified(stored(pairs.where(sizes & (apart <= most)).select("a", "b"), "candidates"), nodes, docs, shingle, similarity, repeats)
 
     entry = F.struct("id", "n", "at")
     entries = nodes.select("id", "n", "cool", F.posexplode("head").alias("at", "key"))
@@ -459,13 +463,14 @@ def grouped_texts(docs: DataFrame, shingle: int, similarity: float, radius: int)
     same = rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
     twice = stored(same.where("m > 1"), "twice")
     members = rows.select("id", "doc_id", *key)
-    if twice.isEmpty():
+    repeats = not twice.isEmpty()
+    if not repeats:
         texts, members = rows, members.withColumn("rep", F.col("id"))
     else:  # equal texts are one node, however many rows they have
         members = joined(members, twice, key, "m", total, "left").select("id", "doc_id", *key, F.coalesce("rep", "id").alias("rep"))
         members = stored(members, "members")
         texts = stored(rows.join(members.where("id <> rep").select("id"), "id", "left_anti"), "texts")
-    comps = components(linked_texts(texts, docs, shingle, similarity, radius))
+    comps = components(linked_texts(texts, docs, shingle, similarity, radius, repeats))
     members = stored(members.join(comps, members.rep == comps.node, "left").select("id", "doc_id", *key, F.coalesce("component", "rep").alias("g")), "grouped")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", *key, "id"))
     groups = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), first.alias("first")).where("m > 1")
