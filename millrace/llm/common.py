@@ -24,6 +24,8 @@ BLOCK_ROWS, MOST_BLOCKS = 1000, 4096
 MOST_HOT, LEAST_HOT = 1024, 64
 #: A list of keys is broadcast up to so many rows, counted before; it is shuffled beyond.
 MOST_KEYS = 1 << 17
+#: Small tables of rounds are written in files of about so many rows: on a local file system each file costs processes that set its mode, and they count as an executor's memory again.
+FILE_ROWS = 50_000
 
 
 def give_back() -> None:
@@ -160,6 +162,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         """Each edge (a, b) as (b, m), m what `least` has for a."""
         return joined(edges, least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
+    def kept(edges: DataFrame, rows: int) -> DataFrame:
+        """As a stored table; `rows` says how many there are at most."""
+        return stored(edges.coalesce(max(1, -(-rows // FILE_ROWS))), "cc")
+
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before, total = None, e.count()
     for _ in range(rounds):
@@ -168,10 +174,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = starred(both.where("b > a"), least, 2 * total)
         # Small star: each node sends its smaller neighbours, and itself, to the smallest of them.
-        large = stored(large, "cc")
+        large = kept(large, total)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = starred(large, low, total).unionAll(low.select("a", F.col("m").alias("b")))
-        last, e = e, stored(small.where("a <> b").distinct(), "cc")
+        last, e = e, kept(small.where("a <> b").distinct(), 2 * total)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         discard(last)
         discard(large)

@@ -30,6 +30,8 @@ COMMON, COUNTED = 1 << 17, 1 << 20
 CHUNK = 1 << 16
 #: Parities of a set, and words of 64 that they take.
 SKETCH, WORDS = 256, 4
+#: Parities for each element of a set in its long sketch, at least, and most of them in all.
+SPARSE, MOST_SKETCH = 2, 1 << 20
 #: Bounds computed from a similarity in floating point are looser by this, so that pairs right at it stay.
 SLACK = 1e-6
 #: Orders of documents by which buckets choose the member that all their members are compared with before pairs are.
@@ -83,6 +85,25 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """parities() by a set's size, as bytes: SPARSE for each element, rounded up to a power of two, by the hashes' last bits."""
+    bits = min(MOST_SKETCH, max(SKETCH, 1 << (SPARSE * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sketches in how many parities they differ, the longer one's added up to the shorter one's: two sets differ in at least as many elements."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def most_apart(similarity: float, sizes):
+    """Of two sets of at least that similarity the difference holds at most this share of the sum of both sizes."""
+    return (1 - similarity) / (1 + similarity) * sizes + SLACK
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Of each whole text: doc_id, fp (signed 64-bit), n (different shingles)."""
 
@@ -351,7 +372,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, repeats: bool) -> DataFrame:
     """Of pairs (a, b) of nodes those whose sets of shingles have at least this Jaccard similarity, as a stored table. Only texts in pairs are hashed again.
 
-    `repeats` says whether several rows may have a node's text, one of which is used.
+    Sketches of the sets, a thirty-second to a sixteenth of their size, rule out most pairs a little below the similarity, so whole sets are moved for the others only. `repeats` says whether several rows may have a node's text, one of which is used.
     """
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     ids = stored(nodes.select("id", "h1", "h2").join(ids, "id", "left_semi"), "ids")
@@ -360,8 +381,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                blobs = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "set"])
+                own = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
+                blobs = [pa.array(x, pa.binary()) for x in ([h.astype("<u8").tobytes() for h in own], [sketch(h).tobytes() for h in own])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *blobs, pa.array([len(h) for h in own], pa.int64())], ["id", "set", "mark", "n"])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = most_apart(similarity, batch.column(2).to_numpy())
+            marks = zip(batch.column(3), batch.column(4), most, strict=True)
+            ok = [least_apart(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)) <= m for x, y, m in marks]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,11 +403,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     few = F.broadcast(ids) if ids.count() <= MOST_KEYS else ids
     own = docs.select(*text_key(), "text").join(few, ["h1", "h2"]).select("id", "text")
-    own = map_arrow(own, sets, "id long, set binary")
+    own = map_arrow(own, sets, "id long, set binary, mark binary, n long")
     own = stored(own.dropDuplicates(["id"]) if repeats else own, "sets")
-    left = own.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = own.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    links = stored(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), keep, "a long, b long"), "links")
+    left, right = (own.select(F.col("id").alias(i), F.col("mark").alias(x), F.col("n").alias(f"n{x}")) for i, x in (("a", "x"), ("b", "y")))
+    marked = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), "x", "y")
+    near = stored(map_arrow(marked, sift, "a long, b long"), "sifted")
+    few = near.count() <= MOST_KEYS
+    left, right = (own.select(F.col("id").alias(i), F.col("set").alias(x)) for i, x in (("a", "x"), ("b", "y")))
+    left = left.join(F.broadcast(near) if few else near, "a")
+    last = near.select("b").distinct()
+    right = right.join(F.broadcast(last) if few else last, "b", "left_semi")
+    links = stored(map_arrow(left.join(right, "b").select("a", "b", "x", "y"), keep, "a long, b long"), "links")
     discard(own)
     return links
 
@@ -406,16 +441,17 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     def pair(x: str, y: str) -> list[Column]:
         return [F.greatest(f"{x}.id", f"{y}.id").alias("a"), F.least(f"{x}.id", f"{y}.id").alias("b")]
 
+    def near(pa: str, pb: str, sizes: Column) -> Column:
+        """Whether sets can be similar by their parities."""
+        return sum((distance(F.get(pa, i), F.get(pb, i)) for i in range(1, WORDS)), distance(F.get(pa, 0), F.get(pb, 0))) <= most_apart(similarity, sizes)
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that sizes and parities don't rule out, verified."""
         pairs = pairs.distinct()
         for x in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("parities").alias(f"p{x}")), x)
-        apart = sum((distance(F.get("pa", i), F.get("pb", i)) for i in range(1, WORDS)), distance(F.get("pa", 0), F.get("pb", 0)))
-        # Of sets this similar, the difference holds at most this share of both sizes.
-        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + SLACK
         sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - SLACK
-        return verified(stored(pairs.where(sizes & (apart <= most)).select("a", "b"), "candidates"), nodes, docs, shingle, similarity, repeats)
+        return verified(stored(pairs.where(sizes & near("pa", "pb", F.col("na") + F.col("nb"))).select("a", "b"), "candidates"), nodes, docs, shingle, similarity, repeats)
 
     entry = F.struct("id", "n", "at")
     entries = nodes.select("id", "n", "cool", F.posexplode("head").alias("at", "key"))
@@ -443,15 +479,18 @@ def linked_texts(rows: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     p, q = (cold.select("key", F.col("g").alias(g), e) for g, e in zip(("g1", "g2"), entry, strict=True))
     more = p.join(q, "key").where((F.col("g1") < F.col("g2")) & may("p", "q")).select(*pair("p", "q"))
     # In a hot bucket groups are paired first, as one may hold most of its members.
-    hot = stored(met.where("hot").join(F.broadcast(several.where("hot").select("key")), "key", "left_semi").select("key", "id", "n", "at", "g"), "several")
-    groups = hot.groupBy("key", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("reach"))
-    x, y = (groups.toDF("key", *[f"{c}{i}" for c in ("g", "lo", "hi", "reach")]) for i in (1, 2))
+    hot = met.where("hot").join(F.broadcast(several.where("hot").select("key")), "key", "left_semi").join(nodes.select("id", "parities"), "id")
+    hot = stored(hot.select("key", "id", "n", "at", "parities", "g"), "several")
+    groups = hot.groupBy("key", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("reach"), F.count(F.lit(1)).alias("m"))
+    x, y = (groups.toDF("key", *[f"{c}{i}" for c in ("g", "lo", "hi", "reach", "m")]) for i in (1, 2))
     # What may() says of members, by bounds of groups.
     sizes = (F.col("hi1") >= F.lit(similarity) * F.col("lo2") - SLACK) & (F.col("hi2") >= F.lit(similarity) * F.col("lo1") - SLACK)
     shared = F.least("reach1", "reach2") >= F.lit(similarity / (1 + similarity)) * (F.col("lo1") + F.col("lo2")) - SLACK
-    two = x.join(y, "key").where((F.col("g1") < F.col("g2")) & sizes & shared).select("key", "g1", "g2")
-    p, q = (hot.select("key", F.col("g").alias(g), e) for g, e in zip(("g1", "g2"), entry, strict=True))
-    more = more.unionAll(two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(may("p", "q")).select(*pair("p", "q")))
+    # The smaller group's members come first, and parities are compared in the join: neither makes rows by the product of groups.
+    two = x.join(y, "key").where((F.struct("m1", "g1") < F.struct(F.col("m2").alias("m1"), F.col("g2").alias("g1"))) & sizes & shared).select("key", "g1", "g2")
+    p, q = (hot.select("key", F.col("g").alias(g), F.struct("id", "n", "at", "parities").alias(x)) for g, x in (("g1", "p"), ("g2", "q")))
+    alike = may("p", "q") & near("p.parities", "q.parities", F.col("p.n") + F.col("q.n"))
+    more = more.unionAll(two.join(p, ["key", "g1"]).join(q, ["key", "g2"]).where(alike).select(*pair("p", "q")))
     more = linked(more)
     return first.unionAll(more)
 

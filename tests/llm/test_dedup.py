@@ -3,13 +3,14 @@ import math
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import common, simhash
 from millrace.llm.common import components, joined, numbered
 from millrace.llm.exact import chunks, drop_exact_duplicates, exact_duplicates, normalised
 
@@ -47,6 +48,24 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_are_written_in_few_files(spark, monkeypatch):
+    """Each file costs processes on a local file system."""
+    tables, drop = [], common.discard
+
+    def counted(df):
+        tables.append(len(df.inputFiles()))
+        drop(df)
+
+    monkeypatch.setattr(common, "discard", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1 + i % 3) for i in range(400)], "a long, b long")
+        assert components(edges).count() == 402
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tables) > 2 and set(tables[1:]) == {1}
+
+
 def test_numbers_have_no_gaps(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") % 1000).alias("v"))
     got = numbered(df, ["k"], ["v"], "i", 5000).groupBy("k").agg(F.count("i").alias("n"), F.countDistinct("i").alias("d"), F.max("i").alias("m")).collect()
@@ -357,6 +376,78 @@ def test_parities_of_sets():
     assert all(apart(x, y) > 300 / 9 for x, y in zip(far, far[1:], strict=False))
 
 
+def test_sketches_of_sets():
+    """They never say more than sets differ, whatever their sizes, and tell sets of a similarity of 0.72 from similar ones where 256 parities don't."""
+    rng = np.random.default_rng(9)
+
+    def numbers(n):
+        return np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+
+    for _ in range(300):
+        a = numbers(int(rng.integers(1, 3000)))
+        b = np.unique(np.append(a[int(rng.integers(0, len(a))) :], numbers(int(rng.integers(0, 3000)))))
+        assert simhash.least_apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
+    assert simhash.least_apart(simhash.sketch(a[:0]), simhash.sketch(a)) <= len(a)
+    for n in (500, 1800, 2048, 5000):
+        a = numbers(n)
+        b = np.unique(np.append(a[n * 4 // 25 :], numbers(n * 4 // 25)))
+        most = simhash.most_apart(0.8, len(a) + len(b))
+        assert simhash.least_apart(simhash.sketch(a), simhash.sketch(b)) > most
+        assert int(np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum()) <= most
+
+
+def test_whole_sets_are_moved_only_for_pairs_near_the_similarity(spark, monkeypatch):
+    """Texts of 1,500 words in families whose members have a similarity of about 0.7, and one pair of near copies in each."""
+    rng, rows, counts, write = random.Random(5), [], defaultdict(int), simhash.stored
+
+    def changed(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"c{rng.randrange(10**9)}"
+        return out
+
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(1500)]
+        members = [changed(base, 30) for _ in range(8)]
+        rows += [" ".join(m) for m in [*members, changed(members[-1], 5)]]
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    pairs = [(j, i) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(df).collect()}
+    up = {i: min([j for j, k in pairs if k == i], default=i) for i in range(len(rows))}
+    assert len(pairs) >= 4 and all(got[j] == got[i] for j, i in pairs)
+    assert {i for i in got if got[i] == i} == {i for i in up if up[i] == i}
+    assert counts["links"] <= counts["sifted"] < counts["candidates"] / 2
+
+
+def test_groups_that_are_not_similar_make_few_rows_in_hot_buckets(spark):
+    """300 texts of six of twelve passages each, no two of a similarity over 0.72: the join of members makes no row for each bucket of the 44,850 pairs."""
+    passages = [" ".join(f"p{i}w{j}" for j in range(25)) for i in range(12)]
+    rows = [" and and and and ".join(passages[i] for i in x) for x in random.Random(4).sample(list(combinations(range(12), 6)), 300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert all(r.kept for r in simhash.near_duplicates(df).collect())
+    made = []
+    runs = store.executionsList()
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and re.search(r"\[key#\w+, g2#", node.desc()):  # of members, after groups have been paired
+                metrics = map(node.metrics().apply, range(node.metrics().size()))
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                made += [int(x.get().replace(",", "")) for x in found if x.isDefined()]
+    assert made and max(made) < 30_000
+
+
 def test_a_large_group_of_near_copies_and_a_line_that_all_texts_share(spark):
     """Hot buckets: 300 copies of one text, each with a word changed, and 200 other texts, all with the same line."""
     rng, line, rows = random.Random(3), " ".join(f"line{i}" for i in range(12)), []
