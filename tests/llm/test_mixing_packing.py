@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import mixing, packing, sharding, token_files
+from millrace.llm import mixing, packing, sharding, token_files, tokens
 from millrace.llm.tokens import PLAIN, Encoder, definition_of
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -165,6 +165,47 @@ def test_full_memory_changes_nothing(both, tokenizer, texts, monkeypatch):
     assert list(Encoder(definition_of(tokenizer)).encode(batch)) == ids(both[0], batch)
 
 
+class Asked:
+    """A tokenizer that notes the words of its lines."""
+
+    def __init__(self, inner):
+        self.inner, self.words = inner, []
+
+    def encode_batch(self, lines, **options):
+        self.words += [w for line in lines for w in line.split()]
+        return self.inner.encode_batch(lines, **options)
+
+
+def test_words_of_letters_pass_by_the_normalizer_and_are_asked_for_once(both, tokenizer):
+    own = Encoder(definition_of(tokenizer))
+    own.library, own.plain = Asked(own.library), Asked(own.plain)
+    batch = ["Été größe, the\tthe x_y12. " + "ab" * 20, "the été. X_Y12 " + "ab" * 20]
+    for _ in range(3):
+        for t in batch:
+            assert list(own.encode([t])) == ids(both[0], [t])
+    assert sorted(own.plain.words) == sorted(["été", "größe", "the", "ab" * 20])
+    assert sorted(own.library.words) == sorted([",", ".", "x_y12"])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="abéßÿ'7.", max_size=30), max_size=12), max_size=8), st.sampled_from([1, 20, 400_000]))
+def test_remembered_words_of_any_length(both, lists, most):
+    library, own = both
+    own.words, before = tokens.Words(most), own.words
+    batch = [" ".join(x) for x in lists]
+    for _ in range(2):
+        assert [b for t in batch for b in own.encode([t])] == ids(library, batch)
+    assert list(own.encode(batch)) == ids(library, batch)
+    own.words = before
+
+
+def test_words_of_one_place_in_the_table_are_told_apart(both, tokenizer, texts, monkeypatch):
+    monkeypatch.setattr(tokens.Words, "_place", lambda self, keys: np.full(len(keys[0]), len(self.table) - 2))
+    own, batch = Encoder(definition_of(tokenizer)), list(texts.values())[:5]
+    for _ in range(2):
+        assert list(own.encode(batch)) == ids(both[0], batch)
+
+
 # --- token files
 
 
