@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, stored
+from millrace.llm.common import give_back, map_arrow, stored
 
 LABELLERS = ("symbols", "runs", "capitals", "bars", "separators", "repeats", "variety", "sentences", "lengths")
 BAD, NONE, GOOD = 0, 1, 2
@@ -201,10 +201,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
                     yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
 
         found = map_arrow(texts.where(F.col("lot") <= top), features, "lot long, own long, at array<long>, x array<double>, y double")
-        # At most `sample` of each class, as repeats are left out.
-        found = sorted(found.dropDuplicates(["lot", "own"]).collect(), key=lambda r: (r.lot, r.own))
-        rows = [(np.array(r["at"], dtype=np.int64), np.array(r.x), r.y) for r in found]
-    return Classifier(posterior, share, fit(rows))
+        # At most `sample` of each class, as repeats are left out. Rows of Python numbers would take over ten times an Arrow table's memory.
+        found = found.dropDuplicates(["lot", "own"]).toArrow().sort_by([("lot", "ascending"), ("own", "ascending")])
+        rows = [(k.values.to_numpy(), v.values.to_numpy(), q) for k, v, q in zip(found["at"], found["x"], found["y"].to_pylist(), strict=True)]
+        del found
+    weights = fit(rows)
+    del rows
+    give_back()
+    return Classifier(posterior, share, weights)
 
 
 def score_quality(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
